@@ -36,7 +36,7 @@ from .util import fan_out, materialise, release
 
 SIMILARITY = (80, 100)
 #: Documents of a packed batch, and of a block of a large component.
-BATCH, BLOCK = 1000, 2000
+BATCH, BLOCK = 250, 2000
 SETS = "batch long, classes binary, sizes binary, hashes binary"
 
 
@@ -53,18 +53,25 @@ def _class(s: np.ndarray) -> int:
     return int.from_bytes(set_digest(s)[:8], "little", signed=True)
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows in batches that keep a worker's memory small."""
+    for b in batches:
+        for lo in range(0, b.num_rows, BATCH):
+            yield b.slice(lo, BATCH)
+
+
 def _digests(docs: DataFrame, words: int) -> DataFrame:
     """(doc_id, n_shingles, cls) of every row; cls names the set, null if it's empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _slices(batches):
             sets = shingle_sets(b.column(1).to_pylist(), words)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([_class(s) if len(s) else None for s in sets], pa.int64())], ["doc_id", "n_shingles", "cls"])
 
     return docs.mapInArrow(run, "doc_id long, n_shingles long, cls long")
 
 
-def _requests(classes: np.ndarray, hashes: np.ndarray, owner: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
+def _requests(hashes: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
     """(bucket, positions of its hashes in order)."""
     bucket = ((hashes >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
     order = np.argsort(bucket, kind="stable")
@@ -78,22 +85,21 @@ def _first_filter(docs: DataFrame, words: int, buckets: int) -> DataFrame:
     """Classes that pass step 1."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = b.column(0).to_pylist()
-            for lo in range(0, len(texts), BATCH):
-                sets = [s for s in shingle_sets(texts[lo : lo + BATCH], words) if len(s)]
-                if not sets:
-                    continue
-                cls = np.array([_class(s) for s in sets])
-                n = np.array([len(s) for s in sets])
-                part = [s[: min(len(s), len(s) - least_overlap(len(s)) + len(s) // 20 + 1)] for s in sets]
-                owner = np.repeat(np.arange(len(sets)), [len(x) for x in part])
-                h = np.concatenate(part)
-                rows = []
-                for k, at in _requests(cls, h, owner, buckets):
-                    own, local = np.unique(owner[at], return_inverse=True)
-                    rows.append((k, h[at].tobytes(), local.astype("<u2").tobytes(), cls[own].tobytes(), n[own].astype("<i4").tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int32(), *[pa.binary()] * 4], strict=True)], ["bucket", "h", "owner", "classes", "sizes"])
+        for b in _slices(batches):
+            sets = [s for s in shingle_sets(b.column(0).to_pylist(), words) if len(s)]
+            if not sets:
+                continue
+            cls = np.array([_class(s) for s in sets])
+            n = np.array([len(s) for s in sets])
+            part = [s[: min(len(s), len(s) - least_overlap(len(s)) + len(s) // 20 + 1)] for s in sets]
+            owner = np.repeat(np.arange(len(sets)), [len(x) for x in part])
+            h = np.concatenate(part)
+            del sets, part
+            rows = []
+            for k, at in _requests(h, buckets):
+                own, local = np.unique(owner[at], return_inverse=True)
+                rows.append((k, h[at].tobytes(), local.astype("<u2").tobytes(), cls[own].tobytes(), n[own].astype("<i4").tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int32(), *[pa.binary()] * 4], strict=True)], ["bucket", "h", "owner", "classes", "sizes"])
 
     def count(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hs, cs, ns = [], [], []
@@ -130,15 +136,13 @@ def _pack_sets(docs: DataFrame, words: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = TaskContext.get().partitionId() << 32
-        for b in batches:
-            cls, texts = b.column(0).to_numpy(), b.column(1).to_pylist()
-            for lo in range(0, len(texts), BATCH):
-                sets = shingle_sets(texts[lo : lo + BATCH], words)
-                mine = [i for i, s in enumerate(sets) if _class(s) == cls[lo + i]]
-                if mine:
-                    row = [at, cls[lo:][mine].tobytes(), np.array([len(sets[i]) for i in mine], "<i4").tobytes(), np.concatenate([sets[i] for i in mine]).tobytes()]
-                    yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, [pa.int64(), *[pa.binary()] * 3], strict=True)], ["batch", "classes", "sizes", "hashes"])
-                at += 1
+        for b in _slices(batches):
+            cls, sets = b.column(0).to_numpy(), shingle_sets(b.column(1).to_pylist(), words)
+            mine = [i for i, s in enumerate(sets) if _class(s) == cls[i]]
+            if mine:
+                row = [at, cls[mine].tobytes(), np.array([len(sets[i]) for i in mine], "<i4").tobytes(), np.concatenate([sets[i] for i in mine]).tobytes()]
+                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, [pa.int64(), *[pa.binary()] * 3], strict=True)], ["batch", "classes", "sizes", "hashes"])
+            at += 1
 
     return docs.select("cls", "text").mapInArrow(run, SETS)
 
@@ -154,7 +158,7 @@ def _rare(sets: DataFrame, buckets: int) -> DataFrame:
         for b in batches:
             for r in b.to_pylist():
                 cls, size, h = _unpack(r)
-                rows = [(k, r["batch"], h[at].tobytes()) for k, at in _requests(cls, h, h, buckets)]
+                rows = [(k, r["batch"], h[at].tobytes()) for k, at in _requests(h, buckets)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int32(), pa.int64(), pa.binary()], strict=True)], ["bucket", "batch", "h"])
 
     def count(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,7 +177,7 @@ def _rare(sets: DataFrame, buckets: int) -> DataFrame:
             cls, size, h = _unpack(r)
             times = np.zeros(len(h), np.int64)
             came = dict(zip(right["bucket"], right["times"], strict=True))
-            for k, at in _requests(cls, h, h, buckets):
+            for k, at in _requests(h, buckets):
                 times[at] = np.frombuffer(came[k], "<u2")
             for c, a, b in zip(cls.tolist(), (np.cumsum(size) - size).tolist(), np.cumsum(size).tolist(), strict=True):
                 s, t = h[a:b], times[a:b]
