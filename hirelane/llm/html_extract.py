@@ -145,30 +145,20 @@ def in_article(item: str) -> bool:
 def fold(items: list[str]) -> list[list]:
     """Union-free expression of a block stream: [items of a group, quantifier], repeated neighbours of up to three items folded."""
     out: list[list] = []
+    single = lambda g: g[1] == "1" and len(g[0]) == 1
     for x in items:
         out.append([[x], "1"])
-        again = True
-        while again:
-            again = False
-            for k in (1, 2, 3):
-                if len(out) >= 2 and len(out[-2][0]) == k and len(out) > k:
-                    tail = [y for g in out[-k:] for y in g[0]] if all(g[1] == "1" for g in out[-k:]) else None
-                    group = out[-k - 1]
-                    if tail == group[0]:
-                        out[-k:] = []
-                        group[1] = "+"
-                        again = True
-                        break
-                if k > 1 and len(out) >= 2 * k and all(g[1] == "1" and len(g[0]) == 1 for g in out[-2 * k :]):
-                    a = [g[0][0] for g in out[-2 * k : -k]]
-                    if a == [g[0][0] for g in out[-k:]]:
-                        out[-2 * k :] = [[a, "+"]]
-                        again = True
-                        break
-            if not again and len(out) >= 2 and out[-1][0] == out[-2][0]:
-                out.pop()
+        for k in (1, 2, 3):
+            if len(out) <= k or not all(map(single, out[-k:])):
+                continue
+            tail = [g[0][0] for g in out[-k:]]
+            if out[-k - 1][0] == tail:
+                del out[-k:]
                 out[-1][1] = "+"
-                again = True
+                break
+            if len(out) >= 2 * k and all(map(single, out[-2 * k : -k])) and [g[0][0] for g in out[-2 * k : -k]] == tail:
+                out[-2 * k :] = [[tail, "+"]]
+                break
     return out
 
 
