@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, embed_join, html_extract, ngram_join, packing, quality, secrets, simple8b, warc
+from . import ann, bpe, embed_join, html_extract, ngram_join, oracle, packing, quality, secrets, simple8b, warc
 from .util import table
 
 
@@ -73,4 +73,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracle.SQL)
