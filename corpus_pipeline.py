@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from hirelane.llm import ngram_join, packing, quality, secrets
 from hirelane.llm.queries import tokenizer
-from hirelane.llm.util import materialise, table
+from hirelane.llm.util import materialise, release, table
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,6 +42,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents table."""
     docs = table(spark, sf_dir, "documents")
+    before = None
     for name, stage in STAGES:
-        docs, _ = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        docs, path = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if before:
+            release(spark, before)
+        before = path
     return docs

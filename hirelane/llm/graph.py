@@ -36,41 +36,66 @@ class Forest:
         return True
 
 
+#: Edges that one task joins at once; more are joined in rounds over all tasks.
+ONE_TASK = 200_000
+#: Nodes that a task remembers before it gives out what it has joined so far.
+HELD = 500_000
+
+
 def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each batch of edges only a star for every component within it."""
+    """Of a task's edges only a star for every component within it."""
+    f = Forest()
+
+    def stars() -> pa.RecordBatch:
+        nodes = [x for x in f.up if f.find(x) != x]
+        return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([f.find(x) for x in nodes], pa.int64())], ["u", "v"])
+
     for b in batches:
-        f = Forest()
         for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             f.union(x, y)
-        nodes = [x for x in f.up if f.find(x) != x]
-        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([f.find(x) for x in nodes], pa.int64())], ["u", "v"])
+        if len(f.up) > HELD:
+            yield stars()
+            f.up.clear()
+    yield stars()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node with an edge to another; edges has two long columns.
 
-    Alternates large-star and small-star steps: a node's neighbours are hung under the smallest one, which
-    needs a minimum per node (combined before the shuffle) and a join, never a list of neighbours.
-    Every round is written to the shared folder.  component is the smallest node.
+    Every task first reduces its edges to stars.  While more than ONE_TASK edges are left, large-star and small-star steps
+    alternate: a node's neighbours are hung under the smallest one, which needs a minimum per node (combined before
+    the shuffle) and a join, never a list of neighbours.  Every round is written to the shared folder.  component
+    is the smallest node.
     """
-    spark = edges.sparkSession
     a, b = edges.columns[:2]
-    e, path = materialise(edges.where(F.col(a) != F.col(b)).select(F.col(a).alias("u"), F.col(b).alias("v")).mapInArrow(_contract, "u long, v long").distinct(), "edges")
-    before = None
-    while True:
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
-        new = small.where("v != m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-        new, fresh = materialise(new, "edges")
-        release(spark, path)
-        e, path = new, fresh
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
-        before = now
+    kind = "u long, v long"
+    e, path = materialise(edges.where(F.col(a) != F.col(b)).select(F.col(a).alias("u"), F.col(b).alias("v")).mapInArrow(_contract, kind), "edges")
+    before, now = None, (e.count(), None)
+    while now != before:
+        if now[0] <= ONE_TASK:
+            new, fresh = materialise(e.coalesce(1).mapInArrow(_contract, kind), "edges")
+            release(edges.sparkSession, path)
+            return _named(new)
+        new, fresh = materialise(_round(e), "edges")
+        release(edges.sparkSession, path)
+        e, path, before = new, fresh, now
+        now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+    return _named(e)
+
+
+def _named(stars: DataFrame) -> DataFrame:
+    roots = stars.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+    return stars.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+
+
+def _round(e: DataFrame) -> DataFrame:
+    """A large-star step, then a small-star step."""
+    both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    least = large.groupBy("u").agg(F.min("v").alias("m"))
+    small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return small.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
 def spread(linked: np.ndarray, root: np.ndarray, i: int) -> list[int]:

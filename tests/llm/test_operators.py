@@ -232,7 +232,9 @@ def test_nearest_neighbours(spark):
     assert ann.search(df.limit(0)).count() == 0
 
 
-def test_components_of_a_chain_and_a_star(spark):
+@pytest.mark.parametrize("one_task", [200_000, 1])
+def test_components_of_a_chain_and_a_star(spark, monkeypatch, one_task):
+    monkeypatch.setattr(graph, "ONE_TASK", one_task)
     edges = [(i, i + 1) for i in range(100, 160)] + [(5, i) for i in range(200, 260)] + [(7, 7)]
     got = {r.node: r.component for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert all(got[i] == 100 for i in range(100, 161)) and all(got[i] == 5 for i in range(200, 260)) and 7 not in got
