@@ -9,7 +9,7 @@ WORDS = "doc string, page int, page_width double, x0 double, y0 double, x1 doubl
 
 
 def word(text, x, y, w=40.0, page=1):
-    return ("d", page, 600.0, x, y, x + w, y + 10, text)
+    return ("d", page, 600.0, float(x), float(y), float(x + w), float(y + 10), text)
 
 
 def test_gap_splits_a_line(spark):
@@ -44,34 +44,38 @@ def test_quality_and_ocr(spark):
     assert {x.doc: x.text for x in L.choose_language(r, ["vi", "en"]).collect()} == {"d": "ok", "e": "abc"}
 
 
-class Overlap:
-    def predict(self, pairs):
-        if any(b == "boom" for _, b in pairs):
-            raise ValueError("no score")
-        return [len(set(a.split()) & set(b.split())) / 2 for a, b in pairs]
+def fakes():
+    """Local classes travel to workers by value."""
 
+    class Overlap:
+        def predict(self, pairs):
+            if any(b == "boom" for _, b in pairs):
+                raise ValueError("no score")
+            return [len(set(a.split()) & set(b.split())) / 2 for a, b in pairs]
 
-class Lengths:
-    classes = ["a", "b"]
+    class Lengths:
+        classes = ["a", "b"]
 
-    def encode(self, texts):
-        return np.array([[len(t)] for t in texts], float)
+        def encode(self, texts):
+            return np.array([[len(t)] for t in texts], float)
 
-    def predict_proba(self, x):
-        p = 1 / (1 + np.exp(-x[:, 0] + 3))
-        return np.column_stack([1 - p, p])
+        def predict_proba(self, x):
+            p = 1 / (1 + np.exp(-x[:, 0] + 3))
+            return np.column_stack([1 - p, p])
+
+    return Overlap, Lengths
 
 
 def test_pair_model(spark):
     d = spark.createDataFrame([("a b", "a b"), ("a b c", "a b c"), (None, "x")], "l string, r string").coalesce(1)
-    assert [r[0] for r in d.select(models.pair_scores(F.col("l"), F.col("r"), Overlap)).collect()] == [100.0, 100.0, 0.0]
+    assert [r[0] for r in d.select(models.pair_scores(F.col("l"), F.col("r"), fakes()[0])).collect()] == [100.0, 100.0, 0.0]
     d = spark.createDataFrame([("a", "boom")], "l string, r string")
-    assert d.select(models.pair_scores(F.col("l"), F.col("r"), Overlap)).first()[0] is None
+    assert d.select(models.pair_scores(F.col("l"), F.col("r"), fakes()[0])).first()[0] is None
 
 
 def test_line_model(spark):
     d = spark.createDataFrame(pd.DataFrame({"t": ["x", "xxxxxx"]}))
-    p = [r.proba for r in models.line_probabilities(d, "t", Lengths, F.array(F.lit(1.0))).collect()]
+    p = [r.proba for r in models.line_probabilities(d, "t", fakes()[1], F.array(F.lit(1.0))).collect()]
     assert p[0][0] > 0.5 > p[1][0]
 
 
