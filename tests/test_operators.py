@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from hirelane import schemas
 from hirelane.functions import catalog
 from hirelane.operators import datasets as D
+from hirelane.operators import experience as X
 from hirelane.operators import metrics as M
 from hirelane.operators import retrieval as R
 from hirelane.operators import sections as S
@@ -179,11 +180,29 @@ def test_parse_resumes(spark):
     assert p.summary == "Builds backends." and {s.name for s in p.skills} >= {"Python", "SQL", "Kafka"}
     e = p.education[0]
     assert (e.institution, e.degree, e.start_year, e.end_year, e.gpa, e.gpa_scale) == ("Hill University", "Bachelor", 2015, 2019, "3.5", "4.0")
-    assert (p.experience[0].duration_months, p.experience[0].details) == (24, ["Built feeds with Kafka"])
+    x = p.experience[0]
+    assert (x.company, x.role, x.duration_months, x.responsibilities, x.technologies) == ("Acme", "Engineer", 24, ["Built feeds with Kafka"], ["Kafka"])
     assert [(x.name, x.proficiency) for x in p.languages] == [("English", "fluent")]
     assert r[2].education == [] and r[2].skills == []
 
 
+def test_experience_shapes(spark):
+    docs = {
+        "pipe": ["Acme Labs", "Backend Developer | Jan 2020 - Mar 2021", "- Built x with Redis", "and more"],
+        "date first": ["Acme", "01/2020 - 07/2020", "Data Engineer", "Made feeds for the whole group"],
+        "stacked": ["Acme", "Data Engineer", "Moved all the old jobs over", "01/2020 - 07/2020", "Kept them running every day", "Education", "Hill University"],
+        "inline": ["Engineer at Acme 2019 - 2020", "Shop portal", "Role: all", "x"],
+    }
+    rows = spark.createDataFrame([(d, i, t) for d, ls in docs.items() for i, t in enumerate(ls)], "doc string, i int, line string")
+    got = {r.doc: [(e.company, e.role, e.duration_months, e.responsibilities) for e in r.experience] for r in X.extract(rows, "doc", "i", "line", catalog.frame(spark), F.lit("2024-01-01").cast("date")).collect()}
+    assert got == {
+        "pipe": [("Acme Labs", "Backend Developer", 14, ["Built x with Redis and more"])],
+        "date first": [("Acme", "Data Engineer", 6, ["Made feeds for the whole group"])],
+        "stacked": [("Acme", "Data Engineer", 6, ["Moved all the old jobs over", "Kept them running every day"])],
+        "inline": [("Acme", "Engineer", 12, [])],
+    }
+
+
 def test_jsonl(spark, tmp_path):
     (tmp_path / "a.jsonl").write_bytes(b'\xef\xbb\xbf{"doc_id": "1", "line_index": 0, "text": "a", "label": "x"}\n\n{bad\n{"doc_id": "2", "line_index": 1, "text": "b", "label": "y"}\n')
     rows, errors = jsonl.read_lenient(spark, f"file://{tmp_path}/a.jsonl", schemas.LABELED_LINE)
