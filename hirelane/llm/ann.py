@@ -91,13 +91,14 @@ class Tree:
             todo += [(a + i, rows[near == i]) for i in range(b - a)]
         return out
 
-    def visit(self, q: np.ndarray, most: int) -> list[int]:
-        """The first leaves in best-bin-first order."""
-        heap, out = [(0.0, 0)], []
-        while heap and len(out) < most:
+    def visit(self, q: np.ndarray, most: int, rows: dict[int, int] | None = None, least: int = 0) -> list[int]:
+        """The first leaves in best-bin-first order; more of them while they hold fewer than `least` rows together."""
+        heap, out, held = [(0.0, 0)], [], 0
+        while heap and (len(out) < most or (rows is not None and held < least)):
             _, node = heapq.heappop(heap)
             if self.leaf[node] >= 0:
                 out.append(self.leaf[node])
+                held += rows.get(self.leaf[node], 0) if rows is not None else 0
                 continue
             a, b = self.children[node]
             for i, d in enumerate((self.sq[a:b] - 2 * (self.c[a:b] @ q)).tolist()):
@@ -128,7 +129,7 @@ def _lift(x: np.ndarray, top: float) -> np.ndarray:
 def search(df: DataFrame, every: int = 20, k: int = K, recall: float = RECALL, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each row whose id is divisible by `every`."""
     out = "query_id long, rank int, vec_id long, score double"
-    spark = df.sparkSession
+    spark, vectors = df.sparkSession, df.schema[vector].dataType.simpleString()
     rows = df.select(df[key].cast("long").alias("vec_id"), df[vector].alias("embedding")).where(usable(F.col("embedding")) & F.col("vec_id").isNotNull())
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
     sizes = sorted((-r.n, r.dims, r.top) for r in rows.groupBy(F.size("embedding").alias("dims")).agg(F.count("*").alias("n"), F.max(norm).alias("top")).orderBy(F.desc("n")).limit(64).collect())
@@ -150,23 +151,27 @@ def search(df: DataFrame, every: int = 20, k: int = K, recall: float = RECALL, k
                 leaf[mine] = tree.assign(_lift(matrix(b.column(1).take(pa.array(mine)), dims), top))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(leaf, pa.int32())], ["vec_id", "embedding", "leaf"])
 
-    placed, _ = materialise(rows.select("vec_id", "embedding", F.size("embedding").alias("dims")).mapInArrow(place, "vec_id long, embedding array<float>, leaf int"), "leaves")
+    placed, _ = materialise(rows.select("vec_id", "embedding", F.size("embedding").alias("dims")).mapInArrow(place, f"vec_id long, embedding {vectors}, leaf int"), "leaves")
     queries = placed.where(F.pmod("vec_id", F.lit(every)) == 0)
     nq = max(1, queries.count())
     tries = [(r.vec_id, np.array(r.embedding, np.float64)) for r in queries.where((F.col("leaf") >= 0) & (F.pmod(F.xxhash64("vec_id", F.lit(SEED + 1)), F.lit(nq)) < CALIBRATE)).select("vec_id", "embedding").collect()]
     visits = _calibrate(placed.where("leaf >= 0"), tree, tries, dims, k, recall)
 
+    # Copies of a query's own id aren't candidates, so they don't count as rows of a leaf.
+    ids = placed.groupBy("leaf").agg(F.count_distinct("vec_id").alias("n"))
+    rows_of = {r.leaf: r.n for r in ids.where("leaf >= 0").collect()}
+
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at, leaf = [], []
             for i, (v, own) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)):
-                to = [own] if own < 0 else tree.visit(np.append(np.array(v, np.float64), 0.0), visits)
+                to = [own] if own < 0 else tree.visit(np.append(np.array(v, np.float64), 0.0), visits, rows_of, k + 1)
                 at += [i] * len(to)
                 leaf += to
             take = pa.array(at, pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(leaf, pa.int32())], ["vec_id", "embedding", "leaf"])
 
-    routed, _ = materialise(queries.select("vec_id", "embedding", "leaf").mapInArrow(route, "vec_id long, embedding array<float>, leaf int"), "routes")
+    routed, _ = materialise(queries.select("vec_id", "embedding", "leaf").mapInArrow(route, f"vec_id long, embedding {vectors}, leaf int"), "routes")
     blocks = placed.groupBy("leaf").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("rb")).join(routed.groupBy("leaf").agg(F.ceil(F.count("*") / BLOCK_QUERIES).cast("int").alias("qb")), "leaf")
 
     def dealt(side: DataFrame, own: str, other: str, mine: str, theirs: str, is_query: bool) -> DataFrame:

@@ -54,6 +54,8 @@ def _pivots(classes: DataFrame) -> dict[tuple[int, int], np.ndarray]:
 def _deal(classes: DataFrame, pivots: dict, radius: dict | None, r: float) -> DataFrame:
     """(cid, label, dims, weight, embedding, cell, own, near) of every class in each cell it belongs to; only the own cell if radius is None."""
 
+    vectors = classes.schema["embedding"].dataType.simpleString()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             label, dims = b.column(1).to_numpy(zero_copy_only=False), b.column(2).to_numpy(zero_copy_only=False)
@@ -86,7 +88,7 @@ def _deal(classes: DataFrame, pivots: dict, radius: dict | None, r: float) -> Da
                 take = pa.array(np.concatenate(at))
                 yield pa.RecordBatch.from_arrays([b.column(i).take(take) for i in range(5)] + [pa.array(np.concatenate(cell), pa.int32()), pa.array(np.concatenate(own)), pa.array(np.concatenate(near))], ["cid", "label", "dims", "weight", "embedding", "cell", "own", "near"])
 
-    return classes.select("cid", "label", "dims", "weight", "embedding").mapInArrow(run, "cid long, label int, dims int, weight long, embedding array<float>, cell int, own boolean, near double")
+    return classes.select("cid", "label", "dims", "weight", "embedding").mapInArrow(run, f"cid long, label int, dims int, weight long, embedding {vectors}, cell int, own boolean, near double")
 
 
 def _compare(cosine: float):
@@ -124,7 +126,7 @@ def _compare(cosine: float):
 def join(df: DataFrame, cosine: float = COSINE, key: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row."""
     r = float(np.sqrt(2 - 2 * cosine))
-    rows = df.select(df[key].cast("long").alias("vec_id"), df[label].cast("int").alias("label"), df[vector].cast("array<float>").alias("embedding"))
+    rows = df.select(df[key].cast("long").alias("vec_id"), df[label].cast("int").alias("label"), df[vector].alias("embedding"))
     rows = rows.withColumn("ok", usable(F.col("embedding")) & F.col("label").isNotNull()).withColumn("cid", F.when(F.col("ok"), F.xxhash64("label", "embedding")))
     classes = rows.where("ok").groupBy("cid", "label", "embedding").agg(F.count("*").alias("weight"), F.min("vec_id").alias("first")).withColumn("dims", F.size("embedding"))
     classes, _ = materialise(classes, "classes")

@@ -232,6 +232,16 @@ def test_nearest_neighbours(spark):
     assert ann.search(df.limit(0)).count() == 0
 
 
+def test_every_query_gets_k_neighbours(spark, monkeypatch):
+    monkeypatch.setattr(ann, "LEAF_ROWS", 3)
+    rng = np.random.default_rng(9)
+    df = spark.createDataFrame([(i, rng.normal(size=4).tolist()) for i in range(200)], "vec_id long, embedding array<double>")
+    out = defaultdict(list)
+    for r in ann.search(df, recall=0.1).collect():
+        out[r.query_id].append(r.vec_id)
+    assert len(out) == 10 and all(len(set(v)) == 20 and q not in v for q, v in out.items())
+
+
 @pytest.mark.parametrize("one_task", [200_000, 1])
 def test_components_of_a_chain_and_a_star(spark, monkeypatch, one_task):
     monkeypatch.setattr(graph, "ONE_TASK", one_task)
