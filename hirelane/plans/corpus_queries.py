@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates as DT
 from ..functions import extract as X
 from ..functions import text as T
-from ..functions.catalog import frame
+from ..functions.catalog import entries, frame
+from ..functions.extract import SHORT_ALIASES
 from ..operators import sections as S
 from ..operators import sequence as Q
 from ..operators import skills as K
@@ -47,12 +50,13 @@ def norm_keys(spark, sf_dir):
 
 
 def pii_scan(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", F.array_join(X.emails(F.col("text")), ",").alias("emails"), F.array_join(X.phones(F.col("text")), ",").alias("phones"))
+    listed = lambda c: F.array_join(F.array_sort(c), ",")
+    return _docs(spark, sf_dir).select("doc_id", listed(X.emails(F.col("text"))).alias("emails"), listed(X.phones(F.col("text"))).alias("phones"))
 
 
 def link_extract(spark, sf_dir):
     found = X.links(F.coalesce("html", F.lit("")))
-    return _t(spark, sf_dir, "pages").select("page_id", F.size(found).alias("n_links"), F.array_join(found, " ").alias("links"))
+    return _t(spark, sf_dir, "pages").select("page_id", F.size(found).alias("n_links"), F.array_join(F.array_sort(found), " ").alias("links"))
 
 
 def document_lines(spark, sf_dir):
@@ -136,7 +140,21 @@ def resume_records(spark, sf_dir):
 _STOP = ", ".join(f"'{w}'" for w in T.GENERIC_TOKENS)
 _LINES = r"(SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS line_index, line AS text FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS raw, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents) x, LATERAL (SELECT trim(raw, ' ' || chr(9) || chr(13)) AS line) y WHERE line <> '')"
 
+_ALIASES = ", ".join(
+    f"({o}, '{key}', '{'(^|[^a-z0-9.])' if a in SHORT_ALIASES else '(^|[^a-z0-9])'}{re.escape(a)}($|[^a-z0-9])')" for o, _, key, _, aliases in entries() for a in aliases
+)
+_NAMES = ", ".join(f"({o}, '{name}')" for o, name, *_ in entries())
 SQL = {
+    "pii_scan": r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents) SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(t, '[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}'))), ',') AS emails,
+array_to_string(list_sort(list_distinct([x FOR x IN [regexp_replace(p, '[^+0-9]', '', 'g') FOR p IN regexp_extract_all(t, '\+?\d[\d\s().-]{6,}\d')] IF length(replace(x, '+', '')) BETWEEN 10 AND 15])), ',') AS phones FROM d""",
+    "link_extract": r"""WITH p AS (SELECT page_id, list_sort(list_distinct([regexp_replace(x, '[.,;:]+$', '') FOR x IN regexp_extract_all(coalesce(html, ''), '(?i)https?://[^\s"''<>)]+')])) AS l FROM pages) SELECT page_id, CAST(len(l) AS INT) AS n_links, array_to_string(l, ' ') AS links FROM p""",
+    "structural_features": r"""WITH c AS (SELECT *, trim(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(13)) AS t FROM conversations)
+SELECT conv_id, turn, round(ln(1 + len(regexp_extract_all(t, '\S+'))), 6) AS log_words, round(CASE WHEN regexp_matches(t, '[A-Za-z]') THEN length(regexp_replace(t, '[^A-Z]', '', 'g')) / length(regexp_replace(t, '[^A-Za-z]', '', 'g')) ELSE 0.0 END, 6) AS caps_ratio,
+round((row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) / greatest(count(*) OVER (PARTITION BY conv_id) - 1, 1), 6) AS position, CASE WHEN regexp_matches(coalesce(text, ''), '^\s*(?:[-*•]|\d+[.)])') THEN 1.0 ELSE 0.0 END AS has_bullet, CASE WHEN t LIKE '%:' THEN 1.0 ELSE 0.0 END AS ends_colon FROM c""",
+    "catalog_match": f"""WITH a(o, k, p) AS (VALUES {_ALIASES}), n(o, skill) AS (VALUES {_NAMES}),
+d AS (SELECT p_partkey AS doc, skill, trim(regexp_replace(regexp_replace(lower('We need a ' || p_name || ' with ' || skill || ' now'), '[^a-z0-9#+./-]+', ' ', 'g'), ' +', ' ', 'g')) AS t FROM part JOIN n ON n.o = p_partkey % (SELECT count(*) FROM n)),
+m AS (SELECT DISTINCT t, k FROM (SELECT DISTINCT t FROM d) x, a WHERE regexp_matches(t, p))
+SELECT doc, skill, (SELECT string_agg(k, ',' ORDER BY k) FROM m WHERE m.t = d.t) AS skills FROM d""",
     "tokenize": "SELECT doc_id, CAST(len(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9+#.]+')) AS INT) AS n_tokens, sha256(array_to_string(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9+#.]+'), ' ')) AS norm FROM documents",
     "fold_ascii": r"SELECT doc_id, sha256(regexp_replace(strip_accents(nfc_normalize(coalesce(text, ''))), '[^\x00-\x7F]', '', 'g')) AS folded, CAST(length(regexp_replace(strip_accents(nfc_normalize(coalesce(text, ''))), '[^\x00-\x7F]', '', 'g')) AS INT) AS n FROM documents",
     "meaningful_terms": f"WITH t AS (SELECT doc_id, [w FOR w IN list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9+#.]+')) IF length(w) > 2 AND NOT list_contains([{_STOP}], w)] AS m FROM documents) SELECT doc_id, CAST(len(m) AS INT) AS n_terms, array_to_string(list_sort(m)[1:8], ' ') AS first_terms FROM t",
