@@ -34,11 +34,20 @@ END = "\r\n"
 PARSED = "record_id string, type string, origin string, segment int, total_length long, page_id long, target_uri string, refers_to long, digest string, payload_bytes long, block binary"
 
 
+def _let(c: Column, f) -> Column:
+    """f of a value that is computed once, however often f names it."""
+    return F.element_at(F.transform(F.array(c), f), 1)
+
+
 def _cut(text: Column, size: int) -> Column:
     """The text in pieces of `size` characters, or more if it's very long; empty text: no piece."""
-    n = F.greatest(F.lit(size), F.ceil(F.length(text) / MOST_PIECES).cast("int"))
-    count = F.ceil(F.length(text) / n).cast("int")
-    return F.when(count > 0, F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.substring(text, i * n + 1, n))).otherwise(F.array().cast("array<string>"))
+
+    def pieces(t: Column, length: Column) -> Column:
+        n = F.greatest(F.lit(size), F.ceil(length / MOST_PIECES).cast("int"))
+        count = F.ceil(length / n).cast("int")
+        return F.when(count > 0, F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.substring(t, i * n + 1, n))).otherwise(F.array().cast("array<string>"))
+
+    return _let(text, lambda t: _let(F.length(t), lambda length: pieces(t, length)))
 
 
 def plan(pages: DataFrame, key: str = "page_id", html: str = "html", url: str = "url") -> DataFrame:
@@ -58,10 +67,9 @@ def write(pages: DataFrame, path: str | None = None, date: str = "2026-01-01T00:
     chunks = F.transform(_cut(F.col("payload"), CHUNK_CHARS), lambda x: F.concat(F.lower(F.hex(F.octet_length(x).cast("long"))), F.lit(END), x, F.lit(END)))
     head = F.lit(f"HTTP/1.1 200 OK{END}Content-Type: text/html; charset=utf-8{END}Transfer-Encoding: chunked{END}{END}")
     block = F.when(F.col("record_type") == "revisit", F.lit("")).otherwise(F.concat(head, F.array_join(chunks, ""), F.lit(f"0{END}{END}")))
-    p = p.withColumn("block", block).drop("payload")
-    cut = F.when(F.length("block") > 0, _cut(F.col("block"), SEGMENT_CHARS)).otherwise(F.array(F.lit("")))
-    p = p.withColumns({"total": F.octet_length("block"), "parts": cut}).drop("block").withColumn("many", F.size("parts"))
-    p = p.select("*", F.posexplode("parts").alias("at", "part")).drop("parts")
+    cut = lambda b: F.when(b != "", _cut(b, SEGMENT_CHARS)).otherwise(F.array(F.lit("")))
+    p = p.withColumn("made", _let(block, lambda b: F.struct(F.octet_length(b).alias("total"), cut(b).alias("parts")))).drop("payload")
+    p = p.select("*", F.col("made.total").alias("total"), F.size("made.parts").alias("many"), F.posexplode("made.parts").alias("at", "part")).drop("made")
 
     def line(name: str, value: Column, when: Column | None = None) -> Column:
         said = F.concat(F.lit(f"{name}: "), value.cast("string"), F.lit(END))
