@@ -8,8 +8,8 @@ neighbours of ``CALIBRATE`` queries are found by a scan of all rows, and the vis
 reaches ``RECALL``.  Leaves and queries are joined by leaf, both sides in blocks of bounded size.
 
 Unusable vectors (null, empty, zero, null or non-finite components) take no part; those of another length than
-most have leaves of their own length.  Repeated rows are candidates of their own; a query never meets its own id; ties go
-to the smaller id.
+most have leaves of their own length.  Repeated rows are candidates of their own; a query never meets its own id and is searched once;
+ties go to the smaller id.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from .vectors import matrix, usable
 K = 20
 SAMPLE, LEAF_ROWS, MOST_LEAVES, BRANCH = 60_000, 256, 8192, 8
 CALIBRATE, RECALL = 200, 0.97
-BLOCK_ROWS, BLOCK_QUERIES = 4096, 1024
+BLOCK_ROWS, BLOCK_QUERIES, SHARED_LEAVES = 4096, 8192, 16
 SEED = 11
 
 
@@ -172,11 +172,14 @@ def search(df: DataFrame, every: int = 20, k: int = K, recall: float = RECALL, k
             yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(leaf, pa.int32())], ["vec_id", "embedding", "leaf"])
 
     routed, _ = materialise(queries.select("vec_id", "embedding", "leaf").mapInArrow(route, f"vec_id long, embedding {vectors}, leaf int"), "routes")
-    blocks = placed.groupBy("leaf").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("rb")).join(routed.groupBy("leaf").agg(F.ceil(F.count("*") / BLOCK_QUERIES).cast("int").alias("qb")), "leaf")
+    # Neighbouring leaves share a group, so a query gives k rows for all of them together.
+    bucket = F.when(F.col("leaf") < 0, F.col("leaf")).otherwise(F.floor(F.col("leaf") / SHARED_LEAVES).cast("int"))
+    placed, routed = placed.withColumn("bucket", bucket), routed.withColumn("bucket", bucket)
+    blocks = placed.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("rb")).join(routed.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK_QUERIES).cast("int").alias("qb")), "bucket")
 
     def dealt(side: DataFrame, own: str, other: str, mine: str, theirs: str, is_query: bool) -> DataFrame:
-        s = side.join(blocks, "leaf").withColumn(mine, F.pmod(F.xxhash64("vec_id", F.lit(3)), own).cast("int"))
-        return s.withColumn(theirs, F.explode(F.sequence(F.lit(0), F.col(other) - 1))).select("leaf", "r", "q", F.lit(is_query).alias("is_query"), "vec_id", "embedding")
+        s = side.join(blocks, "bucket").withColumn(mine, F.pmod(F.xxhash64("vec_id", F.lit(3)), own).cast("int"))
+        return s.withColumn(theirs, F.explode(F.sequence(F.lit(0), F.col(other) - 1))).select("bucket", "r", "q", "leaf", F.lit(is_query).alias("is_query"), "vec_id", "embedding")
 
     both = dealt(placed, "rb", "qb", "r", "q", False).unionByName(dealt(routed, "qb", "rb", "q", "r", True))
 
@@ -185,14 +188,18 @@ def search(df: DataFrame, every: int = 20, k: int = K, recall: float = RECALL, k
         found: list[tuple] = []
         if len(q) and len(x):
             d = len(q["embedding"].iloc[0])
-            qm, xm, ids, qids = matrix(q["embedding"], d), matrix(x["embedding"], d), x["vec_id"].to_numpy(), q["vec_id"].to_numpy()
+            xm, ids, leaf = matrix(x["embedding"], d), x["vec_id"].to_numpy(), x["leaf"].to_numpy()
+            to = q.groupby("vec_id")["leaf"].agg(list)
+            one = q.drop_duplicates("vec_id").set_index("vec_id")["embedding"].loc[to.index]
+            qm = matrix(one, d)
             rough = qm @ xm.T
-            for i in range(len(qm)):
-                at, s = best(qm[i], qids[i], xm, ids, rough[i], k)
-                found += zip([int(qids[i])] * len(at), ids[at].tolist(), s.tolist(), strict=True)
+            for i, (qid, leaves) in enumerate(to.items()):
+                mine = np.flatnonzero(np.isin(leaf, leaves))
+                at, s = best(qm[i], int(qid), xm[mine], ids[mine], rough[i][mine], k)
+                found += zip([int(qid)] * len(at), ids[mine][at].tolist(), s.tolist(), strict=True)
         return pd.DataFrame(found, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
 
-    hits = both.groupBy("leaf", "r", "q").applyInPandas(find, "query_id long, vec_id long, score double")
+    hits = both.groupBy("bucket", "r", "q").applyInPandas(find, "query_id long, vec_id long, score double")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
