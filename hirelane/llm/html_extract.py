@@ -2,13 +2,16 @@
 
 A page is a stream of blocks: runs of text with the path of containers they stand in.  Runs of equal
 blocks fold into repeated groups, which gives a union-free expression (items with a quantifier
-1, ?, + or *).  The expressions of a host are aligned one after another: equal items match, and
-what only one side has becomes optional (a mismatch is thus resolved as an optional or repeated group), until one
-wrapper matches all pages of the host.  Distinct expressions are counted before any host's are brought together, and
+1, ?, + or *, and their text, the first of a container marked).  The expressions of a host are aligned one after
+another: equal items match, what only one
+side has becomes optional (a mismatch is thus resolved as an optional or repeated group), and texts that differ become a
+slot, until one wrapper matches all pages of the host.  A text that is the same on all pages that have its place, at least
+``TEMPLATE`` different ones, belongs to the template.  Pages of one structure are put together before any host's are, and
 a host's are folded in salted parts first, so a host with a third of all pages is no single task.
 
-A wrapper labels each of its items content or not: by the containers' meaning, and where the host's pages name no
-article, by how much of an item's text is links.  A page's text is the text of its blocks that meet a content item.
+A page is matched against its host's wrapper, so each block has a place in it.  Its text is the text of the blocks inside an
+article by the containers' meaning; where the page names none, of those that meet a slot and aren't mostly links.  Text
+inside a named article stays even if it is the same on all pages.
 
 A null or empty html gives an empty text; a null url is a host of its own; repeated pages give a row each; broken markup is
 read as far as it goes.
@@ -20,6 +23,7 @@ import json
 import re
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from hashlib import blake2b
 from html import unescape
 
 import pandas as pd
@@ -42,9 +46,10 @@ CHROME_WORDS = re.compile(
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\s+[^\s"'>/=]+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+))?|[^>])*?)/?>""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 SALTS = 16
-CONTENT, LINKED = "content", "linked"
 #: Share of link text from which an item without an article around it isn't content.
 LINKS = 0.5
+#: Different pages of a host from which a text that never varies belongs to the template.
+TEMPLATE = 3
 
 
 def _marks(attributes: str) -> str:
@@ -60,20 +65,24 @@ def _marks(attributes: str) -> str:
 
 
 def blocks(html: str | None) -> list[tuple[str, str, int]]:
-    """(item, text, characters in links) of each block with text; the item is the path of containers and the block's tag."""
+    """(item, text, characters in links) of each block with text.
+
+    The item is the path of containers and the block's tag, after a ">" where a container began or ended since the last block.
+    """
     html = html or ""
     out: list[tuple[str, str, int]] = []
     stack: list[tuple[str, str]] = []  # tag, and what it adds to the path
     text: list[str] = []
     links = in_link = 0
-    tag, at, path = "", 0, ""
+    tag, at, path, edge = "", 0, "", ">"
 
     def close() -> None:
-        nonlocal links
+        nonlocal links, edge
         if text:
             said = " ".join(unescape("".join(text)).split())
             if said:
-                out.append((f"{path}|{tag}", said, min(links, len(said))))
+                out.append((f"{edge}{path}|{tag}", said, min(links, len(said))))
+                edge = ""
             text.clear()
             links = 0
 
@@ -103,7 +112,7 @@ def blocks(html: str | None) -> list[tuple[str, str, int]]:
             text.append(" ")
         elif name in CONTAINERS:
             close()
-            tag, in_link = "", 0
+            tag, in_link, edge = "", 0, ">"
             if ends:
                 for i in range(len(stack) - 1, -1, -1):
                     if stack[i][0] == name:
@@ -142,6 +151,10 @@ def in_article(item: str) -> bool:
     return any(p.split(".")[0] in ("article", "main") for p in item.rpartition("|")[0].split("/"))
 
 
+def _digest(texts) -> int:
+    return int.from_bytes(blake2b("\n".join(texts).encode("utf-8", "surrogatepass"), digest_size=7).digest(), "little")
+
+
 def fold(items: list[str]) -> list[list]:
     """Union-free expression of a block stream: [items of a group, quantifier], repeated neighbours of up to three items folded."""
     out: list[list] = []
@@ -162,11 +175,41 @@ def fold(items: list[str]) -> list[list]:
     return out
 
 
+def _lengths(expression: list[list], found: list[tuple[str, str, int]]) -> list[int]:
+    """Blocks of each group of a page's expression; a group is never followed by one more repetition of it."""
+    out, i = [], 0
+    for g in expression:
+        k = end = len(g[0])
+        while g[1] == "+" and [x for x, _, _ in found[i + end : i + end + k]] == g[0]:
+            end += k
+        out.append(end)
+        i += end
+    return out
+
+
+def express(found: list[tuple[str, str, int]]) -> list[list]:
+    """fold() with the text of each item of a group: [digest of its different texts in order, [digest of the page]]."""
+    out, i = fold([x for x, _, _ in found]), 0
+    page = _digest(t for _, t, _ in found)
+    for g, n in zip(out, _lengths(out, found), strict=True):
+        k = len(g[0])
+        g.append([[_digest(dict.fromkeys(t for _, t, _ in found[i + o : i + n : k])), [page]] for o in range(k)])
+        i += n
+    return out
+
+
+def _same_text(a: list, b: list) -> list:
+    """Text of two matching items: a constant with (at most TEMPLATE of) the pages that have it, or a slot."""
+    if not a or not b or a[0] != b[0]:
+        return []
+    return [a[0], sorted({*a[1], *b[1]})[:TEMPLATE]]
+
+
 _JOIN = {("1", "1"): "1", ("1", "+"): "+", ("+", "+"): "+", ("1", "?"): "?", ("?", "?"): "?"}
 
 
 def align(a: list[list], b: list[list]) -> list[list]:
-    """An expression that matches what either matches; what only one has becomes optional."""
+    """An expression that matches what either matches; what only one has becomes optional, and texts that differ a slot."""
     names_a, names_b = ["\n".join(g[0]) for g in a], ["\n".join(g[0]) for g in b]
     out: list[list] = []
     optional = {"1": "?", "?": "?", "+": "*", "*": "*"}
@@ -174,82 +217,155 @@ def align(a: list[list], b: list[list]) -> list[list]:
         if op == "equal":
             for x, y in zip(a[a1:a2], b[b1:b2], strict=True):
                 q = tuple(sorted((x[1], y[1]), key="1+?*".index))
-                out.append([x[0], _JOIN.get(q, "*")])
+                texts = [[_same_text(t, u) for t, u in zip(x[2], y[2], strict=True)]] if len(x) > 2 else []
+                out.append([x[0], _JOIN.get(q, "*"), *texts])
         else:
-            out += [[g[0], optional[g[1]]] for g in [*a[a1:a2], *b[b1:b2]]]
+            out += [[g[0], optional[g[1]], *g[2:]] for g in [*a[a1:a2], *b[b1:b2]]]
     return out
 
 
-def label(wrapper: list[list], links: dict[str, list[int]]) -> dict[str, str]:
-    """What each item of a wrapper is."""
-    items = {x for g, _ in wrapper for x in g}
-    article = any(in_article(x) and not is_chrome(x) for x in items)
-    out = {}
-    for x in items:
-        linked, total = links.get(x, [0, 1])
-        content = not is_chrome(x) and (in_article(x) if article else linked < LINKS * max(1, total))
-        out[x] = CONTENT if content else ""
-    return out
+class Matcher:
+    """A host's wrapper, ready to be matched with its pages."""
+
+    def __init__(self, wrapper: list[list], links: dict[str, list[int]]) -> None:
+        self.wrapper, self.links = wrapper, links
+        self._names = ["\n".join(g[0]) for g in wrapper]
+        self._after: dict[int, dict[str, list[int]]] = {}
+
+    def _next(self, at: int) -> dict[str, list[int]]:
+        """Groups that may follow group at (-1: the start), by the names of their items."""
+        if at not in self._after:
+            out: dict[str, list[int]] = {}
+            for k in range(at + 1, len(self.wrapper)):
+                out.setdefault(self._names[k], []).append(k)
+                if self.wrapper[k][1] in "1+":
+                    break
+            self._after[at] = out
+        return self._after[at]
+
+    def match(self, expression: list[list]) -> list[int]:
+        """The wrapper's group that each group of a page's expression meets.
+
+        Of all matches that with the most constant texts met, less those missed.  Every page of the host has one, as align()
+        keeps all groups of either side in order.
+        """
+        best: dict[int, int] = {-1: 0}
+        back: list[dict[int, int]] = []
+        for items, q, texts in expression:
+            now: dict[int, int] = {}
+            came: dict[int, int] = {}
+            name = "\n".join(items)
+            for at, score in best.items():
+                for to in self._next(at).get(name, ()):
+                    if q == "+" and self.wrapper[to][1] not in "+*":
+                        continue
+                    s = score + sum((1 if k[0] == t[0] else -1000) for k, t in zip(self.wrapper[to][2], texts, strict=True) if k)
+                    if s > now.get(to, -1 << 60):
+                        now[to], came[to] = s, at
+            best = now
+            back.append(came)
+        # What follows the last group must be optional.
+        done = {at: s for at, s in best.items() if all(g[1] in "?*" for g in self.wrapper[at + 1 :])}
+        at = max(done, key=lambda x: (done[x], -x))
+        out = []
+        for came in reversed(back):
+            out.append(at)
+            at = came[at]
+        return out[::-1]
+
+    def template(self, found: list[tuple[str, str, int]]) -> list[bool]:
+        """Whether each block of a page meets a text that belongs to the template."""
+        expression, out = express(found), []
+        for (items, _, _), at, n in zip(expression, self.match(expression), _lengths(expression, found), strict=True):
+            fixed = [bool(t) and len(t[1]) >= TEMPLATE for t in self.wrapper[at][2]]
+            out += fixed * (n // len(items))
+        return out
+
+    def content(self, found: list[tuple[str, str, int]]) -> list[bool]:
+        """Whether each block of a page is main text."""
+        items = [x.lstrip(">") for x, _, _ in found]
+        plain = {x: not is_chrome(x) for x in items}
+        if any(v and in_article(x) for x, v in plain.items()):
+            return [plain[x] and in_article(x) for x in items]
+        out = []
+        for x, template in zip(items, self.template(found), strict=True):
+            linked, total = self.links.get(x, [0, 1])
+            out.append(plain[x] and not template and linked < LINKS * max(1, total))
+        return out
 
 
 def _host(url) -> F.Column:
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@]*@)?([^/:?#]*)", 1), F.lit("")))
 
 
+def _structure(expression: list[list]) -> str:
+    return json.dumps([g[:2] for g in expression])
+
+
+def _put(seen: dict, key, expression: list[list]) -> None:
+    """Keep one expression of a structure, texts that differ as slots."""
+    have = seen.setdefault(key, expression)
+    if have is not expression:
+        for x, y in zip(have, expression, strict=True):
+            x[2] = [_same_text(t, u) for t, u in zip(x[2], y[2], strict=True)]
+
+
 def _merge(rows: list[tuple[str, str]]) -> tuple[str, str]:
-    """Fold (expression, link statistics) pairs, longest first."""
-    wrapper: list[list] | None = None
+    """Fold (expression, link statistics) pairs, longest structure first."""
+    seen: dict[str, list[list]] = {}
     links: dict[str, list[int]] = {}
-    for e, s in sorted(rows, key=lambda r: (-len(r[0]), r[0])):
+    for e, s in rows:
         x = json.loads(e)
-        wrapper = x if wrapper is None else align(wrapper, x)
+        _put(seen, _structure(x), x)
         for k, (p, q) in json.loads(s).items():
             have = links.setdefault(k, [0, 0])
             have[0] += p
             have[1] += q
+    wrapper: list[list] | None = None
+    for k in sorted(seen, key=lambda k: (-len(k), k)):
+        wrapper = seen[k] if wrapper is None else align(wrapper, seen[k])
     return json.dumps(wrapper or []), json.dumps(links, sort_keys=True)
 
 
 def infer(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
     """(host, wrapper, links) of every host."""
 
-    def express(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             seen: dict[tuple, list] = {}
+            stats: dict[tuple, dict] = {}
             for host, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 found = blocks(h)
-                e = json.dumps(fold([x for x, _, _ in found]))
-                links = seen.setdefault((host, e), {})
+                e = express(found)
+                k = (host, _structure(e))
+                _put(seen, k, e)
+                links = stats.setdefault(k, {})
                 for x, t, n in found:
-                    have = links.setdefault(x, [0, 0])
+                    have = links.setdefault(x.lstrip(">"), [0, 0])
                     have[0] += n
                     have[1] += len(t)
             keys = list(seen)
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([json.dumps(seen[k]) for k in keys], pa.string())], ["host", "wrapper", "links"])
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([json.dumps(seen[k]) for k in keys], pa.string()), pa.array([json.dumps(stats[k]) for k in keys], pa.string())], ["host", "wrapper", "links"])
 
     def fold_part(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
         w, s = _merge(list(zip(g["wrapper"], g["links"], strict=True)))
         return pd.DataFrame({"host": [key[0]], "wrapper": [w], "links": [s]})
 
     kind = "host string, wrapper string, links string"
-    each = pages.select(_host(pages[url]).alias("host"), pages[html].alias("html")).mapInArrow(express, kind)
+    each = pages.select(_host(pages[url]).alias("host"), pages[html].alias("html")).mapInArrow(run, kind)
     parts = each.withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(SALTS))).groupBy("host", "salt").applyInPandas(fold_part, kind)
     return parts.groupBy("host").applyInPandas(fold_part, kind)
 
 
 def apply(wrapper: str, links: str, html: str | None, cache: dict) -> str:
-    """Text of the page's blocks that meet a content item of its host's wrapper."""
-    labels = cache.get(wrapper)
-    if labels is None:
+    """Text of the page's blocks that are main text by its host's wrapper."""
+    matcher = cache.get(wrapper)
+    if matcher is None:
         if len(cache) > 2000:
             cache.clear()
-        labels = cache[wrapper] = label(json.loads(wrapper), json.loads(links))
+        matcher = cache[wrapper] = Matcher(json.loads(wrapper), json.loads(links))
     found = blocks(html)
-    own = any(labels.get(x) and in_article(x) for x, _, _ in found)
-    # A page of the host without an article of its own is read by its remaining blocks.
-    if not own and any(labels.get(x) and in_article(x) for x in labels):
-        labels = label([[[x], "1"] for x, _, _ in found], json.loads(links))
-    return "\n".join([t for x, t, _ in found if labels.get(x)])
+    return "\n".join([t for (_, t, _), c in zip(found, matcher.content(found), strict=True) if c])
 
 
 def extract(pages: DataFrame, key: str = "page_id", html: str = "html", url: str = "url") -> DataFrame:
