@@ -11,7 +11,7 @@ a host's are folded in salted parts first, so a host with a third of all pages i
 
 A page is matched against its host's wrapper, so each block has a place in it.  Its text is the text of the blocks inside an
 article by the containers' meaning; where the page names none, of those that meet a slot and aren't mostly links.  Text
-inside a named article stays even if it is the same on all pages.
+inside a named article stays even if it is the same on all pages, unless the block's own class names it as something else.
 
 A null or empty html gives an empty text; a null url is a host of its own; repeated pages give a row each; broken markup is
 read as far as it goes.
@@ -22,7 +22,9 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 from difflib import SequenceMatcher
+from functools import lru_cache
 from hashlib import blake2b
 from html import unescape
 
@@ -134,21 +136,30 @@ def blocks(html: str | None) -> list[tuple[str, str, int]]:
     return out
 
 
-def is_chrome(item: str) -> bool:
-    """Whether the containers or the block's own marks name something else than main text."""
-    path, _, tag = item.rpartition("|")
-    parts = [p for p in path.split("/") if p]
-    for p in [*parts, tag]:
-        name, _, marks = p.partition(".")
-        if name in CHROME or name in ("title", "label", "legend", "option", "button") or marks == "hidden" or (marks and name not in ("html", "body", "article", "main") and CHROME_WORDS.search(marks)):
-            return True
-        if name == "header" and not (re.fullmatch(r"h[1-6].*", tag) and any(q.startswith(("article", "main")) for q in parts)):
-            return True
-    return False
+@dataclass(frozen=True)
+class Meaning:
+    """What the marks of an item say."""
 
+    chrome: bool  # by the names of the markup language, or hidden
+    article: bool
+    #: Paths of the containers with a chrome word, around the innermost article and inside it (or where there is none).
+    around: tuple[str, ...]
+    inside: tuple[str, ...]
+    word: bool  # the block's own
 
-def in_article(item: str) -> bool:
-    return any(p.split(".")[0] in ("article", "main") for p in item.rpartition("|")[0].split("/"))
+
+@lru_cache(1 << 16)
+def meaning(item: str) -> Meaning:
+    path, _, tag = item.rpartition("|")
+    parts = [p for p in path.split("/") if p]
+    names = [p.partition(".")[0] for p in parts]
+    last = max((i for i, n in enumerate(names) if n in ("article", "main")), default=-1)
+    head = re.fullmatch(r"h[1-6].*", tag) and last >= 0
+    chrome = any(n in CHROME or n in ("title", "label", "legend", "option", "button") or (n == "header" and not head) for n in [*names, tag.partition(".")[0]])
+    chrome = chrome or any(p.partition(".")[2] == "hidden" for p in [*parts, tag])
+    worded = [i for i, n in enumerate(names) if n not in ("html", "body", "article", "main") and CHROME_WORDS.search(parts[i].partition(".")[2])]
+    around, inside = (tuple("/".join(parts[: i + 1]) for i in worded if (i < last) == w) for w in (True, False))
+    return Meaning(chrome, last >= 0, around, inside, bool(CHROME_WORDS.search(tag.partition(".")[2])))
 
 
 def _digest(texts) -> int:
@@ -231,6 +242,15 @@ class Matcher:
         self.wrapper, self.links = wrapper, links
         self._names = ["\n".join(g[0]) for g in wrapper]
         self._after: dict[int, dict[str, list[int]]] = {}
+        self._held: dict[tuple[str, bool], bool] = {}
+
+    def _holds_most(self, container: str, article: bool) -> bool:
+        """Whether a container has most of the host's text inside articles (or outside them)."""
+        key = container, article
+        if key not in self._held:
+            sizes = [(x, n) for x, (_, n) in self.links.items() if not meaning(x).chrome and meaning(x).article == article]
+            self._held[key] = 2 * sum(n for x, n in sizes if x.startswith((container + "/", container + "|"))) > sum(n for _, n in sizes)
+        return self._held[key]
 
     def _next(self, at: int) -> dict[str, list[int]]:
         """Groups that may follow group at (-1: the start), by the names of their items."""
@@ -282,15 +302,25 @@ class Matcher:
         return out
 
     def content(self, found: list[tuple[str, str, int]]) -> list[bool]:
-        """Whether each block of a page is main text."""
+        """Whether each block of a page is main text.
+
+        A chrome word says nothing of a container that has most of the host's text, nor of one around the page's only articles.
+        """
         items = [x.lstrip(">") for x, _, _ in found]
-        plain = {x: not is_chrome(x) for x in items}
-        if any(v and in_article(x) for x, v in plain.items()):
-            return [plain[x] and in_article(x) for x in items]
+        said = {x: meaning(x) for x in items}
+        article = {x for x, m in said.items() if m.article and not m.chrome and all(self._holds_most(p, True) for p in m.inside)}
+        if article:
+            free = {x for x in article if all(self._holds_most(p, True) for p in said[x].around)}
+            article = free or article
+            if not any(said[x].word for x in article):
+                return [x in article for x in items]
+        plain = {x for x, m in said.items() if not m.chrome and not m.word and all(self._holds_most(p, False) for p in m.inside)}
         out = []
         for x, template in zip(items, self.template(found), strict=True):
             linked, total = self.links.get(x, [0, 1])
-            out.append(plain[x] and not template and linked < LINKS * max(1, total))
+            fixed = template or linked >= LINKS * max(1, total)
+            # Inside an article a block's own word needs the wrapper's word too.
+            out.append(x in article and not (said[x].word and fixed) if article else x in plain and not fixed)
         return out
 
 

@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from hirelane.llm import html_extract
 
 
@@ -38,3 +40,29 @@ def test_every_page_matches_its_wrapper():
             assert len(m.template(p)) == len(p)
             # No page misses a constant text.
             assert all(not k or k[0] == t[0] for j, g in zip(at, e, strict=True) for k, t in zip(m.wrapper[j][2], g[2], strict=True))
+
+
+@pytest.mark.parametrize("mark", ['class="layout has-sidebar"', 'class="with-comments"', 'id="content-related"', 'class="social-impact"'])
+@pytest.mark.parametrize("inner", ["<main>%s</main>", "<article>%s</article>", "<main><h1>Head</h1><article>%s</article></main>", "<p>%s</p>", "<div>%s</div>"])
+def test_html_chrome_words_around_the_text(mark, inner):
+    said = "Text of the story that is much longer than its head."
+    for html in (f"<body><div {mark}>{inner % said}</div><div class='ad'>Buy</div></body>", f"<body><article><div {mark}>{said}</div><div class='related'>More</div></article></body>"):
+        assert said in alone(html) and "Buy" not in alone(html) and "More" not in alone(html)
+
+
+def alone(*htmls):
+    rows = []
+    for h in htmls:
+        found, links = html_extract.blocks(h), {}
+        for x, t, n in found:
+            have = links.setdefault(x.lstrip(">"), [0, 0])
+            have[0] += n
+            have[1] += len(t)
+        rows.append((html_extract.json.dumps(html_extract.express(found)), html_extract.json.dumps(links)))
+    got = [html_extract.apply(*html_extract._merge(rows), h, {}) for h in htmls]
+    return got if len(got) > 1 else got[0]
+
+
+def test_html_chrome_words_inside_an_article():
+    pages = [f'<article><p class="notice">Notice {i} of the author.</p><p>Story {i}</p><p class="share">Share this</p><h2 class="search">Head {i}</h2><div class="comments">me too</div></article><div class="related"><article>Teaser {i}</article></div>' for i in range(4)]
+    assert alone(*pages) == [f"Notice {i} of the author.\nStory {i}\nHead {i}" for i in range(4)]
