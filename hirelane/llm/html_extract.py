@@ -46,6 +46,8 @@ CHROME_WORDS = re.compile(
     r"(?:^|[^a-z])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|notification|alert|popup|modal|overlay|newsletter|subscribe|signup|login|sidebar|side-bar|aside|rail|widget|menu|nav\w*|breadcrumbs?|pagination|pager|footer|masthead|topbar|toolbar|comments?|comment-\w+|replies|respond|disqus|discussion|share|sharing|social|related|recommend\w*|search\w*|skip-?link|complementary|contentinfo)(?:[^a-z]|$)"
 )
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\s+[^\s"'>/=]+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+))?|[^>])*?)/?>""", re.S)
+#: A tag that the page's end cuts off; the matcher of whole tags has taken all others.
+_UNFINISHED = re.compile(r"<(?:[a-zA-Z/!?][^<]*)?\Z")
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 SALTS = 16
 #: Share of link text from which an item without an article around it isn't content.
@@ -131,7 +133,7 @@ def blocks(html: str | None) -> list[tuple[str, str, int]]:
                 marks = _marks(m[3])
                 tag = f"{name}.{marks}" if marks else name
     if at < len(html):
-        text.append(html[at:] if "<" not in html[at:] else html[at:].split("<")[0])
+        text.append(_UNFINISHED.sub("", html[at:]))
     close()
     return out
 

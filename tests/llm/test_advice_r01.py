@@ -66,3 +66,9 @@ def alone(*htmls):
 def test_html_chrome_words_inside_an_article():
     pages = [f'<article><p class="notice">Notice {i} of the author.</p><p>Story {i}</p><p class="share">Share this</p><h2 class="search">Head {i}</h2><div class="comments">me too</div></article><div class="related"><article>Teaser {i}</article></div>' for i in range(4)]
     assert alone(*pages) == [f"Notice {i} of the author.\nStory {i}\nHead {i}" for i in range(4)]
+
+
+def test_html_text_after_the_last_tag():
+    assert alone("if a < b then x <= y and the rest") == "if a < b then x <= y and the rest"
+    assert alone("<p>one</p>if a < b <c>d, i < 3 rest") == "one\nif a < b d, i < 3 rest"
+    assert alone("<p>one</p>two <a href='x") == alone("<p>one</p>two </di") == alone("<p>one</p>two <") == "one\ntwo"
