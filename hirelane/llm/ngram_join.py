@@ -234,6 +234,26 @@ class TOccurrence:
             self.lists.setdefault(x, []).append(i)
 
 
+def _count_within(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(cls, documents of other classes that link with it) in a group's components; of two blocks only the links between them."""
+    comps: dict[int, dict] = {}
+    for g in batches:
+        for r in g.to_pylist():
+            comps.setdefault(r["comp"], {})[r["cls"]] = (np.frombuffer(r["s"], np.uint64), r["block"], r["copies"])
+    found: dict[int, int] = {}
+    for docs in comps.values():
+        index, before = TOccurrence(), []
+        two = len({k for _, k, _ in docs.values()}) > 1
+        for cls, (s, block, copies) in sorted(docs.items(), key=lambda x: (len(x[1][0]), x[0])):
+            for i in index.search(s, lambda i, block=block: two and before[i][1] == block):
+                other, _, its = before[i]
+                found[cls] = found.get(cls, 0) + its
+                found[other] = found.get(other, 0) + copies
+            index.add(s)
+            before.append((cls, block, copies))
+    yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.int64())], ["cls", "n"])
+
+
 def _within(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links of a group's components that join different parts of a component; all of its documents, or those of two blocks."""
     comps: dict[int, dict] = {}
@@ -261,8 +281,8 @@ def _within(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
     yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
-def _links(sets: DataFrame, comps: DataFrame) -> DataFrame:
-    """Step 3: enough links to connect all documents that are connected."""
+def _pairs(sets: DataFrame, comps: DataFrame, *more: str) -> DataFrame:
+    """(pair, comp, block, cls, s) and more columns of comps: the sets of each component, dealt to pairs of its blocks."""
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -279,16 +299,20 @@ def _links(sets: DataFrame, comps: DataFrame) -> DataFrame:
     # Two blocks meet in the group (lower, higher); a component of one block shares a group with others.
     each = each.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     pair = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("comp"), F.lit(groups))).otherwise(F.xxhash64("comp", F.least("block", "with"), F.greatest("block", "with")))
-    return each.select(pair.alias("pair"), "comp", "block", "cls", "s").groupBy("pair").applyInArrow(_within, "a long, b long")
+    return each.select(pair.alias("pair"), "comp", "block", "cls", "s", *more)
 
 
-def classes(docs: DataFrame, words: int = WORDS, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row."""
-    spark = docs.sparkSession
+def _links(sets: DataFrame, comps: DataFrame) -> DataFrame:
+    """Step 3: enough links to connect all documents that are connected."""
+    return _pairs(sets, comps).groupBy("pair").applyInArrow(_within, "a long, b long")
+
+
+def _candidates(docs: DataFrame, words: int, key: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, list[str]]:
+    """Steps 1 and 2: (doc_id, n_shingles, cls) of every row, (cls, first, copies), SETS and (cls, comp) of what may link; paths to release."""
     d = docs.select(docs[key].cast("long").alias("doc_id"), docs[text].alias("text"))
-    buckets = max(8, fan_out(spark))
+    buckets = max(8, fan_out(docs.sparkSession))
     named, _ = materialise(_digests(d, words), "digests")
-    per_class, _ = materialise(named.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("first")), "classes")
+    per_class, _ = materialise(named.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")), "classes")
     passed, p1 = materialise(_first_filter(d, words, buckets), "passed")
     # One document stands for a class; its text is read again.
     one = per_class.join(passed, "cls").select("cls", F.col("first").alias("its"))
@@ -298,15 +322,39 @@ def classes(docs: DataFrame, words: int = WORDS, key: str = "doc_id", text: str
     hubs = rare.groupBy("h").agg(F.min("cls").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
     near = components(rare.join(hubs, "h").where("cls != hub").select("cls", "hub"))
     comps, p4 = materialise(near.select(F.col("node").alias("cls"), F.col("component").alias("comp")), "near")
-    links, p5 = materialise(_links(sets, comps), "links")
+    return named, per_class, sets, comps, [p1, p2, p3, p4]
+
+
+def classes(docs: DataFrame, words: int = WORDS, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row."""
+    return _grouped(docs, words, key, text).select("doc_id", "n_shingles", "component_id")
+
+
+def _grouped(docs: DataFrame, words: int = WORDS, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """classes() with cls, which names a row's set, and root, which names its component; both null for an empty set."""
+    named, per_class, sets, comps, paths = _candidates(docs, words, key, text)
+    links, _ = materialise(_links(sets, comps), "links")
     root = components(links).select(F.col("node").alias("cls"), F.col("component").alias("root"))
     ids = per_class.join(root, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    ids = ids.join(ids.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("cls", "component_id")
-    out = named.join(ids, "cls", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-    release(spark, p1, p2, p3, p4)
+    ids = ids.join(ids.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("cls", "root", "component_id")
+    out = named.join(ids, "cls", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "cls", "root")
+    release(docs.sparkSession, *paths)
     return out
 
 
+def link_counts(docs: DataFrame, words: int = WORDS, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, n_links) of every row: how many other rows link with it, all links and copies counted.
+
+    This searches for every link, which classes() doesn't need; its work grows with their number.
+    """
+    named, per_class, sets, comps, paths = _candidates(docs, words, key, text)
+    counted = _pairs(sets, comps.join(per_class.select("cls", "copies"), "cls"), "copies").groupBy("pair").applyInArrow(_count_within, "cls long, n long")
+    found, _ = materialise(counted.groupBy("cls").agg(F.sum("n").alias("n")), "counts")
+    release(docs.sparkSession, *paths)
+    each = per_class.join(found, "cls", "left").select("cls", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    return named.join(each, "cls", "left").select("doc_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
     """One document of each group, the one with the smallest id, all columns unchanged; of repeated rows of that id one stays.
 

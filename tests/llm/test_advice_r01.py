@@ -2,9 +2,10 @@
 
 import random
 
+import numpy as np
 import pytest
 
-from hirelane.llm import html_extract
+from hirelane.llm import html_extract, ngram_join, shingles
 
 
 def plain_page(i, more=""):
@@ -72,3 +73,26 @@ def test_html_text_after_the_last_tag():
     assert alone("if a < b then x <= y and the rest") == "if a < b then x <= y and the rest"
     assert alone("<p>one</p>if a < b <c>d, i < 3 rest") == "one\nif a < b d, i < 3 rest"
     assert alone("<p>one</p>two <a href='x") == alone("<p>one</p>two </di") == alone("<p>one</p>two <") == "one\ntwo"
+
+
+def close_texts():
+    """24 versions of one text that differ in a few words each, copies among them, and others."""
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(24):
+        t = list(base)
+        for k in rng.sample(range(120), rng.choice([0, 0, 1, 2, 3])):
+            t[k] = f"v{rng.randrange(3)}"
+        rows.append((i, " ".join(t)))
+    return [*rows, *[(30 + i, " ".join(f"u{i}x{k}" for k in range(30))) for i in range(4)], (40, rows[0][1]), (41, None), (42, "")]
+
+
+@pytest.mark.parametrize("block", [2000, 4])
+def test_ngram_link_counts(spark, monkeypatch, block):
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    rows = close_texts()
+    sets = [shingles.shingle_sets([t], shingles.WORDS)[0] for _, t in rows]
+    want = {i: sum(j != k and len(t) and ngram_join.linked(len(s), len(t), len(np.intersect1d(s, t))) for k, t in enumerate(sets)) if len(s) else 0 for j, ((i, _), s) in enumerate(zip(rows, sets, strict=True))}
+    got = {r.doc_id: r.n_links for r in ngram_join.link_counts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want and max(got.values()) > 8 and len(set(got.values())) > 3
