@@ -131,6 +131,17 @@ def _first_filter(docs: DataFrame, words: int, buckets: int) -> DataFrame:
     return got.where(F.col("shared") >= F.least(F.floor(F.floor(F.col("n") * 0.8) / 20) + 1, F.col("n"))).select("cls")
 
 
+def _named_texts(docs: DataFrame, words: int) -> DataFrame:
+    """(cls, text) of (text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _slices(batches):
+            sets = shingle_sets(b.column(0).to_pylist(), words)
+            yield pa.RecordBatch.from_arrays([pa.array([_class(s) if len(s) else None for s in sets], pa.int64()), b.column(0)], ["cls", "text"])
+
+    return docs.select("text").mapInArrow(run, "cls long, text string")
+
+
 def _pack_sets(docs: DataFrame, words: int) -> DataFrame:
     """SETS of (cls, text), whole sets in batches."""
 
@@ -317,6 +328,9 @@ def _candidates(docs: DataFrame, words: int, key: str, text: str) -> tuple[DataF
     # One document stands for a class; its text is read again.
     one = per_class.join(passed, "cls").select("cls", F.col("first").alias("its"))
     texts = d.join(one.hint("shuffle_hash"), F.col("doc_id") == F.col("its")).select("cls", "text")
+    # Rows without an id stand for the classes that have no other; they are found by their sets.
+    nameless = _named_texts(d.where("doc_id is null"), words).join(one.where("its is null").select("cls").hint("shuffle_hash"), "cls", "left_semi")
+    texts = texts.unionByName(nameless.dropDuplicates(["cls"]))
     sets, p2 = materialise(_pack_sets(texts, words), "sets")
     rare, p3 = materialise(_rare(sets, buckets), "rare")
     hubs = rare.groupBy("h").agg(F.min("cls").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")

@@ -96,3 +96,24 @@ def test_ngram_link_counts(spark, monkeypatch, block):
     want = {i: sum(j != k and len(t) and ngram_join.linked(len(s), len(t), len(np.intersect1d(s, t))) for k, t in enumerate(sets)) if len(s) else 0 for j, ((i, _), s) in enumerate(zip(rows, sets, strict=True))}
     got = {r.doc_id: r.n_links for r in ngram_join.link_counts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == want and max(got.values()) > 8 and len(set(got.values())) > 3
+
+
+def chain():
+    """a links with b and b with c, but a not with c."""
+    base = [f"w{i}" for i in range(200)]
+    a = " ".join(["x"] * 1 + [f"a{i}" for i in range(14)] + base)
+    c = " ".join(base + [f"c{i}" for i in range(14)])
+    b = " ".join([*base])
+    return a, b, c
+
+
+def test_a_text_without_an_id_links_others(spark):
+    a, b, c = chain()
+    a, c = a + " " + " ".join(f"d{i}" for i in range(14)), c + " " + " ".join(f"e{i}" for i in range(14))
+    rows = [(1, a), (2, c), (None, b), (None, b), (7, "p q r s t u v w"), (None, "p q r s t u v w z1 z2"), (None, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.component_id or 0) for r in ngram_join.classes(frame).collect() if r.n_shingles > 100)
+    assert got == [(0, 1), (0, 1), (1, 1), (2, 1)]
+    assert {r.component_id for r in ngram_join.classes(frame.where("doc_id is null or doc_id > 1")).collect() if r.n_shingles > 100} == {2}
+    # Apart without the text in the middle.
+    assert sorted(r.component_id for r in ngram_join.classes(frame.where("doc_id < 3")).collect()) == [1, 2]
