@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .graph import Forest, components
 from .shingles import WORDS, set_digest, shingle_sets
@@ -369,11 +370,34 @@ def link_counts(docs: DataFrame, words: int = WORDS, key: str = "doc_id", text:
     return named.join(each, "cls", "left").select("doc_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
+def _with_class(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """docs with cls, which names the set of a row's text."""
+    names, schema = docs.columns, docs.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = names.index("text")
+        for b in _slices(batches):
+            sets = shingle_sets(b.column(at).to_pylist(), words)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([_class(s) if len(s) else None for s in sets], pa.int64())], [*names, "cls"])
+
+    return docs.mapInArrow(run, StructType([*schema.fields, StructField("cls", LongType())]))
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each group, the one with the smallest id, all columns unchanged; of repeated rows of that id one stays.
+    """One document of each group, the one with the smallest id, all columns unchanged; of a group's rows of that id one stays.
 
-    Rows without an id stay.
+    Rows of one id with different texts are judged each by its own group.  Rows without an id stay.
     """
-    groups = classes(docs).where("doc_id = component_id").select("doc_id").distinct()
-    once = docs.where("doc_id is not null").join(groups.hint("shuffle_hash"), "doc_id", "left_semi")
-    return once.dropDuplicates(["doc_id"]).select(docs.columns).unionByName(docs.where("doc_id is null"))
+    groups = _grouped(docs).where("doc_id is not null")
+    # Of each id: whether its rows are all of one set, and whether that one stays.
+    sets = groups.groupBy("doc_id").agg(((F.count("cls") == 0) | ((F.count("cls") == F.count("*")) & (F.min("cls") == F.max("cls")))).alias("one"), F.max(F.col("doc_id") == F.col("component_id")).alias("stays"))
+    ids, _ = materialise(sets.where("stays"), "ids")
+    known = docs.where("doc_id is not null")
+    once = known.join(ids.where("one").select("doc_id").hint("shuffle_hash"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    several = ids.where("not one").select("doc_id")
+    if not several.isEmpty():
+        stay = groups.where("doc_id = component_id").select(F.col("doc_id").alias("its"), F.col("cls").alias("its_cls"), "root").distinct()
+        rows = _with_class(known.join(several.hint("shuffle_hash"), "doc_id", "left_semi").select(docs.columns))
+        rows = rows.join(stay, (F.col("doc_id") == F.col("its")) & F.col("cls").eqNullSafe(F.col("its_cls")))
+        once = once.unionByName(rows.dropDuplicates(["doc_id", "root"]).select(docs.columns))
+    return once.unionByName(docs.where("doc_id is null"))

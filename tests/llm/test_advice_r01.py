@@ -117,3 +117,13 @@ def test_a_text_without_an_id_links_others(spark):
     assert {r.component_id for r in ngram_join.classes(frame.where("doc_id is null or doc_id > 1")).collect() if r.n_shingles > 100} == {2}
     # Apart without the text in the middle.
     assert sorted(r.component_id for r in ngram_join.classes(frame.where("doc_id < 3")).collect()) == [1, 2]
+
+
+def test_rows_of_one_id_are_judged_by_their_texts(spark):
+    near = " ".join(f"w{i}" for i in range(100))
+    own, other = " ".join(f"o{i}" for i in range(50)), " ".join(f"q{i}" for i in range(50))
+    rows = [(1, near), (5, near + " end"), (5, own), (5, own), (5, own + " end"), (5, None), (5, ""), (6, own), (8, other), (8, other), (9, near), (None, own)]
+    for order in (rows, rows[::-1]):
+        kept = [(r.doc_id, r.text) for r in ngram_join.keep_one(spark.createDataFrame(order, "doc_id long, text string")).collect()]
+        said = [(i, (t or "").replace(" end", "")) for i, t in kept]
+        assert sorted(said, key=str) == sorted([(1, near), (5, own), (5, ""), (8, other), (None, own)], key=str)
