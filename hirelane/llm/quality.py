@@ -5,8 +5,8 @@ positives P, unlabelled web text U and class prior p,
 
     p * E_P[loss(+)] + max(0, E_U[loss(-)] - p * E_P[loss(-)]),
 
-where a step that would make the second part negative is taken back.  The prior is the share of label 1 among the
-labelled rows that may be learned from.  The scale of the score is then set by a two-parameter
+where a step that would make the second part negative is taken back.  The prior is the share of label 1 among all
+labels that may be learned from.  The scale of the score is then set by a two-parameter
 logistic fit on the same labelled rows.
 
 The fit reads a bounded sample (``LABELLED`` labelled rows, ``UNLABELLED`` others, chosen by hash); every
@@ -107,12 +107,11 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, labelled: np.ndarray, labels: np.ndarray, rounds: int = 500, rate: float = 0.05, decay: float = 1e-2) -> Model:
+def fit(positive: np.ndarray, unlabelled: np.ndarray, labelled: np.ndarray, labels: np.ndarray, prior: float, rounds: int = 500, rate: float = 0.05, decay: float = 1e-2) -> Model:
     """nnPU risk with the sigmoid loss by Adam over the sample, then the scale of the score."""
     every = _expand(np.vstack([positive, unlabelled]))
     mean, scale = every.mean(0), every.std(0) + 1e-6
     mean[0], scale[0] = 0, 1
-    prior = float(labels.mean()) if len(labels) else 0.5
     w = np.zeros(every.shape[1])
     if not len(positive) or not len(unlabelled) or prior in (0.0, 1.0):
         return Model(mean, scale, w, 0.0, 0.0)
@@ -167,7 +166,9 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     spark = docs.sparkSession
     known = labels.select(F.col(key).alias("k"), F.col(label).cast("int").alias("y")).where(F.col("k").isNotNull() & F.col("y").isNotNull() & ~held_out(F.col("k")))
     known = known.groupBy("k").agg(F.max("y").alias("y"))
-    n, total = known.count(), docs.count()
+    counted = known.agg(F.count("*").alias("n"), F.avg((F.col("y") == 1).cast("double")).alias("prior")).first()
+    n, total = counted["n"], docs.count()
+    prior = 0.5 if counted["prior"] is None else counted["prior"]
     chosen = known.where(F.pmod(F.xxhash64("k", F.lit(5)), F.lit(max(1, n))) < LABELLED).toPandas()
     small = spark.createDataFrame([(int(a), int(b)) for a, b in zip(chosen["k"], chosen["y"], strict=True)], "k long, y int")
     rows = docs.select(F.col(key).alias("doc"), F.col(text).alias("text")).join(F.broadcast(small), F.col("doc") == F.col("k"), "left")
@@ -175,7 +176,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     got = _features(rows.withColumn("y", F.coalesce("y", F.lit(-1))), ["y", "web"], "text").toPandas()
     x = np.array(got["x"].tolist(), np.float64).reshape(-1, STATISTICS)
     y, web = got["y"].to_numpy(), got["web"].to_numpy().astype(bool)
-    return fit(x[y == 1], x[web], x[y >= 0], (y[y >= 0] == 1).astype(float))
+    return fit(x[y == 1], x[web], x[y >= 0], (y[y >= 0] == 1).astype(float), prior)
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -4,8 +4,9 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from hirelane.llm import html_extract, ngram_join, shingles
+from hirelane.llm import html_extract, ngram_join, quality, shingles
 
 
 def plain_page(i, more=""):
@@ -127,3 +128,14 @@ def test_rows_of_one_id_are_judged_by_their_texts(spark):
         kept = [(r.doc_id, r.text) for r in ngram_join.keep_one(spark.createDataFrame(order, "doc_id long, text string")).collect()]
         said = [(i, (t or "").replace(" end", "")) for i, t in kept]
         assert sorted(said, key=str) == sorted([(1, near), (5, own), (5, ""), (8, other), (None, own)], key=str)
+
+
+def test_the_prior_counts_all_labels(spark, monkeypatch):
+    monkeypatch.setattr(quality, "LABELLED", 20)
+    docs = spark.createDataFrame([(i, f"word{i % 7} and {i} more words here") for i in range(400)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 10 == 0)) for i in range(600)] + [(None, 1), (1, None)], "doc_id long, quality int")
+    seen, fit = [], quality.fit
+    monkeypatch.setattr(quality, "fit", lambda *a, **k: seen.append(a[4]) or fit(*a, **k))
+    quality.train(docs, labels)
+    may = [r.quality for r in labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~quality.held_out(F.col("doc_id"))).collect()]
+    assert seen == [pytest.approx(sum(may) / len(may))]
