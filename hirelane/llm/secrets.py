@@ -20,6 +20,13 @@ from .util import materialise, scratch_path
 RULE_VERSION = "2026-11"
 _WORD = "|".join("".join(f"[{c.upper()}{c}]" for c in w) for w in ("password", "passwd", "secret", "token"))
 _KEY = "".join(f"[{c.upper()}{c}]" for c in "api") + "_?" + "".join(f"[{c.upper()}{c}]" for c in "key")
+_BREAK = r"(?:\s|\\[nr])"
+#: A key up to its END line, or where that is missing to the end of its base64 lines; possessive, so that no text is read twice.
+_PRIVATE = (
+    r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----(?:[^-]*+(?:-{1,4}+(?!-)[^-]*+)*+-----END [A-Z ]{0,20}PRIVATE KEY-----"
+    rf"|(?:{_BREAK}*+(?:Proc-Type|DEK-Info|Comment|Version):[^\r\n\\]*+)*+(?:{_BREAK}*+[A-Za-z0-9+/]{{16,}}+={{0,2}}+)*+"
+    r"(?:(?:\r?\n|\\n)[A-Za-z0-9+/]{1,15}+={0,2}+(?![^\r\n\\\x22']))?)"
+)
 #: kind, pattern, group whose length counts, least length.  The first three are the base kinds.
 RULES = [
     ("assign", rf"""({_WORD}|{_KEY})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
@@ -28,36 +35,39 @@ RULES = [
     ("private_key", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----", 0, 1),
     ("platform", r"(?:gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{35})", 0, 1),
 ]
+#: What redact() hides: a private key whole, where RULES (and the SQL) name its first line.
+HIDDEN = [(kind, _PRIVATE if kind == "private_key" else pattern, group, least) for kind, pattern, group, least in RULES]
+HIDDEN_VERSION = f"{RULE_VERSION}-whole-keys"
 BASE = ("assign", "access", "hex")
 FINDINGS = "array<struct<start:int,kind_order:int,kind:string,end:int>>"
 LEDGER = f"blob binary, rule_version string, findings {FINDINGS}"
 
 
-def _matches(order: int, gaps: Column, whole: Column, counted: Column) -> Column:
+def _matches(rules: list[tuple], order: int, gaps: Column, whole: Column, counted: Column) -> Column:
     """A struct for every match of a rule: number, length of the text before it since the last one, length, whether it counts."""
-    kind, _, _, least = RULES[order]
+    kind, _, _, least = rules[order]
     return F.transform(
         F.arrays_zip(F.slice(gaps, F.lit(1), F.size(whole)).alias("g"), whole.alias("m"), counted.alias("c")),
         lambda x, i: F.struct(F.lit(order).alias("kind_order"), F.lit(kind).alias("kind"), i.alias("number"), F.length(x["g"]).alias("gap"), F.length(x["m"]).alias("size"), (F.length(x["c"]) >= least).alias("counts")),
     )
 
 
-def _pieces(text: Column) -> Column:
+def _pieces(text: Column, rules: list[tuple]) -> Column:
     """The matches of all rules."""
-    rules = []
-    for order, (_, pattern, group, _) in enumerate(RULES):
+    found = []
+    for order, (_, pattern, group, _) in enumerate(rules):
         whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
         counted = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
-        rules.append(F.when(text.rlike(pattern), _matches(order, F.split(text, pattern, -1), whole, counted)))
+        found.append(F.when(text.rlike(pattern), _matches(rules, order, F.split(text, pattern, -1), whole, counted)))
     empty = F.array().cast("array<struct<kind_order:int,kind:string,number:int,gap:int,size:int,counts:boolean>>")
-    return F.flatten(F.array(*[F.coalesce(r, empty) for r in rules]))
+    return F.flatten(F.array(*[F.coalesce(r, empty) for r in found]))
 
 
-def scan(blobs: DataFrame) -> DataFrame:
+def scan(blobs: DataFrame, rules: list[tuple] = RULES) -> DataFrame:
     """(blob, findings) of (blob, text); only blobs with spans."""
     from pyspark.sql import Window
 
-    rows = blobs.select("blob", F.explode(_pieces(F.col("text"))).alias("m")).select("blob", "m.*").repartition("blob").dropDuplicates(["blob", "kind_order", "number"])
+    rows = blobs.select("blob", F.explode(_pieces(F.col("text"), rules)).alias("m")).select("blob", "m.*").repartition("blob").dropDuplicates(["blob", "kind_order", "number"])
     w = Window.partitionBy("blob", "kind_order").orderBy("number")
     end = F.sum(F.col("gap") + F.col("size")).over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("int")
     spans = rows.withColumn("end", end).where("counts").select("blob", F.struct((F.col("end") - F.col("size")).alias("start"), "kind_order", "kind", "end").alias("span"))
@@ -76,7 +86,7 @@ def _ledger(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame([], LEDGER)
 
 
-def update(docs: DataFrame, ledger: str, version: str = RULE_VERSION, key: str = "doc_id", text: str = "text") -> DataFrame:
+def update(docs: DataFrame, ledger: str, version: str = RULE_VERSION, key: str = "doc_id", text: str = "text", rules: list[tuple] = RULES) -> DataFrame:
     """Scan what the ledger lacks, append it, and return the ledger's rows of this version."""
     spark = docs.sparkSession
     known = _ledger(spark, ledger).where(F.col("rule_version") == version).select("blob")
@@ -84,7 +94,7 @@ def update(docs: DataFrame, ledger: str, version: str = RULE_VERSION, key: str =
     # The smallest key stands for all copies of a blob, so no group of copies ever meets in one task.
     unseen = texts.groupBy("blob").agg(F.min("doc_id").alias("one")).join(known, "blob", "left_anti").withColumnRenamed("blob", "its")
     todo = texts.join(unseen.hint("shuffle_hash"), (F.col("blob") == F.col("its")) & F.col("doc_id").eqNullSafe(F.col("one")))
-    found = scan(todo.select("blob", "text"))
+    found = scan(todo.select("blob", "text"), rules)
     new, _ = materialise(found, "findings")
     blobs = unseen.select(F.col("its").alias("blob"))
     blobs.join(new, "blob", "left").select("blob", F.lit(version).alias("rule_version"), F.coalesce("findings", F.array().cast(FINDINGS)).alias("findings")).write.mode("append").parquet(ledger)
@@ -108,7 +118,7 @@ def redact(docs: DataFrame, ledger: str | None = None, mark: str = "[SECRET]") -
     Overlapping spans become one mark.
     """
     spark = docs.sparkSession
-    rows = update(docs, ledger or scratch_path(spark, "ledger")).where(F.size("findings") > 0).select(F.col("blob").alias("its"), F.col("findings").alias("spans_found"))
+    rows = update(docs, ledger or scratch_path(spark, "ledger"), HIDDEN_VERSION, rules=HIDDEN).where(F.size("findings") > 0).select(F.col("blob").alias("its"), F.col("findings").alias("spans_found"))
     d = docs.withColumn("blob_found", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))).join(rows, F.col("blob_found") == F.col("its"), "left")
     done = F.aggregate(
         "spans_found",
