@@ -29,6 +29,7 @@ CHUNK_CHARS = 1 << 20
 TABLE_WORDS = 300_000
 _BASE = 0x9E3779B97F4A7C15
 _SLOTS = 1 << 20
+_ANY_SPACE = re.compile(r"\s")
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -91,7 +92,11 @@ def library_encoder(path: str) -> Callable[[list[str]], list[list[int]]]:
 
 
 class WordTable:
-    """Numbers of words, and their ids; forgets all when it holds too many words."""
+    """Numbers of words, and their ids.
+
+    Between groups of texts, and between the pieces of a long text, it forgets all when it holds more than `most` words, so it
+    holds at most these and the words of one piece.
+    """
 
     def __init__(self, path: str, encode: Callable[[list[str]], list[list[int]]] | None = None, most: int = TABLE_WORDS):
         self.spec = load_model(path)
@@ -109,6 +114,7 @@ class WordTable:
     def clear(self) -> None:
         self.keys = np.zeros(_SLOTS, np.uint64)
         self.slots = np.full(_SLOTS, -1, np.int32)
+        self.mask = _SLOTS - 1
         #: Little-endian 32-bit ids of each numbered word.
         self.ids: list[bytes] = []
         for i in self.special.values():
@@ -117,22 +123,34 @@ class WordTable:
 
     def _find(self, h: np.ndarray) -> np.ndarray:
         out = np.full(len(h), -1, np.int32)
-        at, todo = (h & np.uint64(_SLOTS - 1)).astype(np.int64), None
+        at = (h & np.uint64(self.mask)).astype(np.int64)
         todo = np.arange(len(h))
         while len(todo):
             got, key = self.slots[at[todo]], self.keys[at[todo]]
             hit = (key == h[todo]) & (got >= 0)
             out[todo[hit]] = got[hit]
             todo = todo[~hit & (got >= 0)]
-            at[todo] = (at[todo] + 1) & (_SLOTS - 1)
+            at[todo] = (at[todo] + 1) & self.mask
         return out
 
+    def _place(self, key: int, number: int) -> None:
+        at = key & self.mask
+        while self.slots[at] >= 0:
+            at = (at + 1) & self.mask
+        self.slots[at], self.keys[at] = number, key
+
     def _learn(self, h: np.ndarray, words: list[str]) -> None:
+        size = self.mask + 1
+        while len(self.ids) + len(words) > size // 2:
+            size *= 2
+        if size > self.mask + 1:
+            known = np.flatnonzero(self.slots >= 0)
+            keys, numbers = self.keys[known].tolist(), self.slots[known].tolist()
+            self.keys, self.slots, self.mask = np.zeros(size, np.uint64), np.full(size, -1, np.int32), size - 1
+            for key, number in zip(keys, numbers, strict=True):
+                self._place(key, number)
         for key, ids in zip(h.tolist(), self.encode(words), strict=True):
-            at = key & (_SLOTS - 1)
-            while self.slots[at] >= 0:
-                at = (at + 1) & (_SLOTS - 1)
-            self.slots[at], self.keys[at] = len(self.ids), key
+            self._place(key, len(self.ids))
             self.ids.append(np.array(ids, "<u4").tobytes())
 
     def _words(self, text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -196,34 +214,31 @@ class WordTable:
             if isinstance(x, int):
                 yield x
                 continue
-            while len(x) > CHUNK_CHARS:
-                cut = max(x.rfind(" ", 0, CHUNK_CHARS), x.rfind("\n", 0, CHUNK_CHARS))
-                if cut <= 0:
-                    m = re.compile(r"\s").search(x, CHUNK_CHARS)
+            lo = 0
+            while len(x) - lo > CHUNK_CHARS:
+                cut = max(x.rfind(" ", lo, lo + CHUNK_CHARS), x.rfind("\n", lo, lo + CHUNK_CHARS))
+                if cut <= lo:
+                    m = _ANY_SPACE.search(x, lo + CHUNK_CHARS)
                     cut = m.start() if m else len(x)
-                yield self.normalise(x[:cut])
-                x = x[cut:]
-            yield self.normalise(x)
-
-    def numbers(self, texts: list[str | None]) -> Iterator[tuple[int, list[int]]]:
-        """(index, word numbers) of each text in order; null counts as empty.
+                yield self.normalise(x[lo:cut])
+                lo = cut
+            yield self.normalise(x[lo:])
 
-        A very long text comes whole.  The numbers hold until the next item is asked for.
-        """
+    def encode_all(self, texts: list[str | None]) -> Iterator[tuple[int, bytes]]:
+        """(index, little-endian 32-bit ids) of each text in order; null counts as empty."""
         group: list[tuple[int, str]] = []
         size = 0
 
-        def flush() -> Iterator[tuple[int, list[int]]]:
+        def flush() -> Iterator[tuple[int, bytes]]:
             if not group:
                 return
-            if len(self.ids) > self.most:
-                self.clear()
+            self._forget()
             at, number = self._words("\n".join([t for _, t in group]))
             limits = np.cumsum([0, *(len(t) + 1 for _, t in group)])
             cut = np.searchsorted(at, limits).tolist()
             listed = number.tolist()
             for k, (i, _) in enumerate(group):
-                yield i, listed[cut[k] : cut[k + 1]]
+                yield i, b"".join(map(self.ids.__getitem__, listed[cut[k] : cut[k + 1]]))
             group.clear()
 
         for i, text in enumerate(texts):
@@ -241,18 +256,20 @@ class WordTable:
             size += len(t) + 1
         yield from flush()
 
-    def _long(self, text: str) -> list[int]:
-        if len(self.ids) > self.most:
-            self.clear()
-        out: list[int] = []
+    def _long(self, text: str) -> bytes:
+        """Ids of a text, piece by piece; the words of one piece may be forgotten before the next."""
+        out: list[bytes] = []
         for x in self._pieces(text):
-            out += [x] if isinstance(x, int) else self._words(x)[1].tolist()
-        return out
+            if isinstance(x, int):
+                out.append(self.ids[x])
+                continue
+            self._forget()
+            out.append(b"".join(map(self.ids.__getitem__, self._words(x)[1].tolist())))
+        return b"".join(out)
 
-    def encode_all(self, texts: list[str | None]) -> Iterator[tuple[int, bytes]]:
-        """(index, little-endian 32-bit ids) of each text in order."""
-        for i, numbers in self.numbers(texts):
-            yield i, b"".join(map(self.ids.__getitem__, numbers))
+    def _forget(self) -> None:
+        if len(self.ids) > self.most:
+            self.clear()
 
 
 _TABLES: dict[tuple, WordTable] = {}
