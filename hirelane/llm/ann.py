@@ -5,10 +5,11 @@ product is the smallest distance.  The tree is fitted on a bounded sample (``SAM
 put into a leaf.  A query walks the tree with a priority queue of nodes by distance to their
 centroids, and so gets an order of leaves.  How many leaves it visits is calibrated: the exact
 neighbours of ``CALIBRATE`` queries are found by a scan of all rows, and the visits are widened until their mean recall
-reaches ``RECALL``.  Leaves and queries are joined by leaf, both sides in blocks of bounded size.
+reaches ``RECALL``.  Leaves and queries are joined by groups of neighbouring leaves, both sides in blocks of bounded
+size; a group gives one packed row of k neighbours a query, and these are merged.
 
 Unusable vectors (null, empty, zero, null or non-finite components) take no part; those of another length than
-most have leaves of their own length.  Repeated rows are candidates of their own; a query never meets its own id and is searched once;
+most have leaves of their own length.  An empty table gives no rows; other columns, whatever their names, are ignored.  Repeated rows are candidates of their own; a query never meets its own id and is searched once;
 ties go to the smaller id.
 """
 
@@ -20,16 +21,18 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .util import materialise
+from .util import materialise, release
 from .vectors import matrix, usable
 
 K = 20
 SAMPLE, LEAF_ROWS, MOST_LEAVES, BRANCH = 60_000, 256, 8192, 8
 CALIBRATE, RECALL = 200, 0.97
 BLOCK_ROWS, BLOCK_QUERIES, SHARED_LEAVES = 4096, 8192, 16
+#: Queries of a task that merges what their groups found.
+MERGED_QUERIES = 512
 SEED = 11
 
 
@@ -128,17 +131,17 @@ def _lift(x: np.ndarray, top: float) -> np.ndarray:
 
 def search(df: DataFrame, every: int = 20, k: int = K, recall: float = RECALL, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each row whose id is divisible by `every`."""
-    out = "query_id long, rank int, vec_id long, score double"
     spark, vectors = df.sparkSession, df.schema[vector].dataType.simpleString()
     rows = df.select(df[key].cast("long").alias("vec_id"), df[vector].alias("embedding")).where(usable(F.col("embedding")) & F.col("vec_id").isNotNull())
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
     sizes = sorted((-r.n, r.dims, r.top) for r in rows.groupBy(F.size("embedding").alias("dims")).agg(F.count("*").alias("n"), F.max(norm).alias("top")).orderBy(F.desc("n")).limit(64).collect())
     if not sizes:
-        return spark.createDataFrame([], out)
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     n, dims, top = -sizes[0][0], sizes[0][1], float(sizes[0][2])
     main = rows.where(F.size("embedding") == dims)
     part = F.pmod(F.xxhash64("vec_id", F.lit(SEED)), F.lit(n))
-    sample = matrix(main.where(part < SAMPLE).select("embedding").toPandas()["embedding"], dims)
+    # The limits hold where one id repeats, whose rows share a hash; without repeats they cut nothing.
+    sample = matrix(main.where(part < SAMPLE).select("embedding").limit(2 * SAMPLE).toPandas()["embedding"], dims)
     leaves = min(MOST_LEAVES, max(1, n // LEAF_ROWS))
     tree = Tree(_lift(sample, top), len(sample) / leaves, leaves + BRANCH) if len(sample) else Tree(np.zeros((1, dims + 1)), 1, 1)
 
@@ -151,10 +154,10 @@ def search(df: DataFrame, every: int = 20, k: int = K, recall: float = RECALL, k
                 leaf[mine] = tree.assign(_lift(matrix(b.column(1).take(pa.array(mine)), dims), top))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(leaf, pa.int32())], ["vec_id", "embedding", "leaf"])
 
-    placed, _ = materialise(rows.select("vec_id", "embedding", F.size("embedding").alias("dims")).mapInArrow(place, f"vec_id long, embedding {vectors}, leaf int"), "leaves")
+    placed, p_leaves = materialise(rows.select("vec_id", "embedding", F.size("embedding").alias("dims")).mapInArrow(place, f"vec_id long, embedding {vectors}, leaf int"), "leaves")
     queries = placed.where(F.pmod("vec_id", F.lit(every)) == 0)
     nq = max(1, queries.count())
-    tries = [(r.vec_id, np.array(r.embedding, np.float64)) for r in queries.where((F.col("leaf") >= 0) & (F.pmod(F.xxhash64("vec_id", F.lit(SEED + 1)), F.lit(nq)) < CALIBRATE)).select("vec_id", "embedding").collect()]
+    tries = [(r.vec_id, np.array(r.embedding, np.float64)) for r in queries.where((F.col("leaf") >= 0) & (F.pmod(F.xxhash64("vec_id", F.lit(SEED + 1)), F.lit(nq)) < CALIBRATE)).select("vec_id", "embedding").limit(2 * CALIBRATE).collect()]
     visits = _calibrate(placed.where("leaf >= 0"), tree, tries, dims, k, recall)
 
     # Copies of a query's own id aren't candidates, so they don't count as rows of a leaf.
@@ -162,46 +165,63 @@ def search(df: DataFrame, every: int = 20, k: int = K, recall: float = RECALL, k
     rows_of = {r.leaf: r.n for r in ids.where("leaf >= 0").collect()}
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each group of neighbouring leaves that a query visits, with the leaves it visits there."""
         for b in batches:
-            at, leaf = [], []
+            at, bucket, visited = [], [], []
             for i, (v, own) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)):
-                to = [own] if own < 0 else tree.visit(np.append(np.array(v, np.float64), 0.0), visits, rows_of, k + 1)
-                at += [i] * len(to)
-                leaf += to
+                if own < 0:
+                    at, bucket, visited = [*at, i], [*bucket, own], [*visited, np.array([own], "<i4").tobytes()]
+                    continue
+                to = np.sort(np.array(tree.visit(np.append(np.array(v, np.float64), 0.0), visits, rows_of, k + 1), "<i4"))
+                for g, lo, n in zip(*np.unique(to // SHARED_LEAVES, return_index=True, return_counts=True), strict=True):
+                    at.append(i)
+                    bucket.append(int(g))
+                    visited.append(to[lo : lo + n].tobytes())
             take = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(leaf, pa.int32())], ["vec_id", "embedding", "leaf"])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(bucket, pa.int32()), pa.array(visited, pa.binary())], ["vec_id", "embedding", "bucket", "visited"])
 
-    routed, _ = materialise(queries.select("vec_id", "embedding", "leaf").mapInArrow(route, f"vec_id long, embedding {vectors}, leaf int"), "routes")
+    routed, p_routes = materialise(queries.select("vec_id", "embedding", "leaf").mapInArrow(route, f"vec_id long, embedding {vectors}, bucket int, visited binary"), "routes")
     # Neighbouring leaves share a group, so a query gives k rows for all of them together.
-    bucket = F.when(F.col("leaf") < 0, F.col("leaf")).otherwise(F.floor(F.col("leaf") / SHARED_LEAVES).cast("int"))
-    placed, routed = placed.withColumn("bucket", bucket), routed.withColumn("bucket", bucket)
+    placed = placed.withColumn("bucket", F.when(F.col("leaf") < 0, F.col("leaf")).otherwise(F.floor(F.col("leaf") / SHARED_LEAVES).cast("int")))
     blocks = placed.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("rb")).join(routed.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK_QUERIES).cast("int").alias("qb")), "bucket")
 
-    def dealt(side: DataFrame, own: str, other: str, mine: str, theirs: str, is_query: bool) -> DataFrame:
+    def dealt(side: DataFrame, own: str, other: str, mine: str, theirs: str, leaf: Column, visited: Column) -> DataFrame:
         s = side.join(blocks, "bucket").withColumn(mine, F.pmod(F.xxhash64("vec_id", F.lit(3)), own).cast("int"))
-        return s.withColumn(theirs, F.explode(F.sequence(F.lit(0), F.col(other) - 1))).select("bucket", "r", "q", "leaf", F.lit(is_query).alias("is_query"), "vec_id", "embedding")
+        return s.withColumn(theirs, F.explode(F.sequence(F.lit(0), F.col(other) - 1))).select("bucket", "r", "q", leaf.cast("int").alias("leaf"), visited.cast("binary").alias("visited"), "vec_id", "embedding")
 
-    both = dealt(placed, "rb", "qb", "r", "q", False).unionByName(dealt(routed, "qb", "rb", "q", "r", True))
+    both = dealt(placed, "rb", "qb", "r", "q", F.col("leaf"), F.lit(None)).unionByName(dealt(routed, "qb", "rb", "q", "r", F.lit(None), F.col("visited")))
 
     def find(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        q, x = g[g["is_query"]], g[~g["is_query"]]
+        """A row for each query: its k best of this group, packed."""
+        asks = g["visited"].notna()
+        q, x = g[asks].drop_duplicates("vec_id"), g[~asks]
         found: list[tuple] = []
         if len(q) and len(x):
             d = len(q["embedding"].iloc[0])
-            xm, ids, leaf = matrix(x["embedding"], d), x["vec_id"].to_numpy(), x["leaf"].to_numpy()
-            to = q.groupby("vec_id")["leaf"].agg(list)
-            one = q.drop_duplicates("vec_id").set_index("vec_id")["embedding"].loc[to.index]
-            qm = matrix(one, d)
+            xm, ids, leaf = matrix(x["embedding"], d), x["vec_id"].to_numpy(), x["leaf"].to_numpy(np.int64)
+            qm = matrix(q["embedding"], d)
             rough = qm @ xm.T
-            for i, (qid, leaves) in enumerate(to.items()):
-                mine = np.flatnonzero(np.isin(leaf, leaves))
-                at, s = best(qm[i], int(qid), xm[mine], ids[mine], rough[i][mine], k)
-                found += zip([int(qid)] * len(at), ids[mine][at].tolist(), s.tolist(), strict=True)
-        return pd.DataFrame(found, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
-
-    hits = both.groupBy("bucket", "r", "q").applyInPandas(find, "query_id long, vec_id long, score double")
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+            for i, (qid, visited) in enumerate(zip(q["vec_id"].tolist(), q["visited"], strict=True)):
+                mine = np.flatnonzero(np.isin(leaf, np.frombuffer(visited, "<i4")))
+                at, s = best(qm[i], qid, xm[mine], ids[mine], rough[i][mine], k)
+                if len(at):
+                    found.append((qid, ids[mine][at].astype("<i8").tobytes(), s.astype("<f8").tobytes()))
+        return pd.DataFrame(found, columns=["query_id", "ids", "scores"]).astype({"query_id": "int64"})
+
+    def merge(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        """The k best of each query out of what its groups found."""
+        rows = []
+        for qid, each in g.groupby("query_id"):
+            ids, s = np.frombuffer(b"".join(each["ids"]), "<i8"), np.frombuffer(b"".join(each["scores"]), "<f8")
+            order = np.lexsort((ids, -s))[:k]
+            rows.append(pd.DataFrame({"query_id": qid, "rank": np.arange(1, len(order) + 1), "vec_id": ids[order], "score": s[order]}))
+        return pd.concat(rows) if rows else pd.DataFrame(columns=["query_id", "rank", "vec_id", "score"])
+
+    hits = both.groupBy("bucket", "r", "q").applyInPandas(find, "query_id long, ids binary, scores binary")
+    groups = F.pmod(F.xxhash64("query_id"), F.lit(-(-nq // MERGED_QUERIES)))
+    out, _ = materialise(hits.groupBy(groups.alias("g")).applyInPandas(merge, "query_id long, rank int, vec_id long, score double"), "neighbours")
+    release(spark, p_leaves, p_routes)
+    return out
 
 
 def _calibrate(placed: DataFrame, tree: Tree, tries: list, dims: int, k: int, recall: float) -> int:
