@@ -3,31 +3,36 @@
 Documents with equal shingle sets are one class.  A partner of a set of n shingles shares at least
 T = ceil(0.8 n) of them, so:
 
-1. ``_deal``: every document sends the smallest n - T + k hashes of its set (k = n/20 + 1) to buckets of the hash space; partners
-   share k of them.  A bucket returns how many of a document's hashes occur in other sets too; documents with fewer than
-   the least possible k drop out.  All documents take part in the count.
-2. The whole sets of those left are counted the same way; a document needs T shared hashes.  The counts
+1. ``_first_filter``: every document sends the smallest n - T + k hashes of its set (k = n/20 + 1) to buckets of the hash space;
+   partners share k of them.  A bucket returns how many of a document's hashes occur in other sets too; documents with fewer
+   than the least possible k drop out.  All documents take part in the count.
+2. ``_rare``: the whole sets of those left are counted the same way; a document needs T shared hashes.  The counts
    also order its hashes from rare to common: partners share one of the n - T + 1 rarest, so the components of
    "has a rare hash in common" hold all links.
-3. Within a component a document searches the earlier ones for T occurrences as DivideSkip does: its
-   short inverted lists are merged by a heap, its longest lists are only probed by binary search for the
-   candidates of the merge.  Documents that are already known to be connected aren't probed again.
-   Components of many documents are compared in blocks.
-
-Nothing is sampled and no list is cut.  Null, empty and blank texts have no shingles and link with nothing.  Repeated
-rows are documents of their own; a null id names no component.  Hashes have 64 bits.
+3. ``_links``: a component's documents are dealt to blocks.  Within a block a document searches the earlier ones for T occurrences as
+   DivideSkip does: its short inverted lists are merged by a heap, its long lists are only probed by binary
+   search for the candidates of the merge.  Documents that are already known to be connected aren't probed.
+4. Of a component of several blocks, one document of each connected part goes on to blocks of its own while this halves the
+   parts or nearly so.  At last every document outside its component's largest part is searched for in each block that
+   holds one of its rare hashes.
+
+Nothing is sampled and no list is cut.  Null, empty and blank texts have no shingles and link with nothing; a very long text
+is one set like any other.  Repeated rows are documents of their own; a null id names no component.  An empty table gives
+no rows; other columns, whatever their names, are ignored.  Hashes and the names of sets have 64 bits.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+import math
+from bisect import bisect_left
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
@@ -37,7 +42,11 @@ from .util import fan_out, materialise, release
 
 SIMILARITY = (80, 100)
 #: Documents of a packed batch, and of a block of a large component.
-BATCH, BLOCK = 250, 2000
+BATCH, BLOCK = 250, 500
+#: Hashes that a bucket counts at once.
+BUCKET_HASHES = 1 << 22
+#: The cost of probing a list against merging it, as DivideSkip's authors found it.
+MU = 0.0085
 SETS = "batch long, classes binary, sizes binary, hashes binary"
 
 
@@ -74,7 +83,8 @@ def _digests(docs: DataFrame, words: int) -> DataFrame:
 
 def _requests(hashes: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
     """(bucket, positions of its hashes in order)."""
-    bucket = ((hashes >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+    # Another mix than the one that orders a set, whose smallest hashes would all fall into the lowest buckets.
+    bucket = (((hashes * np.uint64(0x9FB21C651E98DF25)) >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
     order = np.argsort(bucket, kind="stable")
     at = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))
     for k in range(buckets):
@@ -86,50 +96,59 @@ def _first_filter(docs: DataFrame, words: int, buckets: int) -> DataFrame:
     """Classes that pass step 1."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at_batch = TaskContext.get().partitionId() << 32
         for b in _slices(batches):
-            sets = [s for s in shingle_sets(b.column(0).to_pylist(), words) if len(s)]
+            # Copies of a class send their hashes once a batch.
+            sets = {_class(s): s for s in shingle_sets(b.column(0).to_pylist(), words) if len(s)}
+            at_batch += 1
             if not sets:
                 continue
-            cls = np.array([_class(s) for s in sets])
-            n = np.array([len(s) for s in sets])
-            part = [s[: min(len(s), len(s) - least_overlap(len(s)) + len(s) // 20 + 1)] for s in sets]
+            cls = np.array(list(sets))
+            n = np.array([len(s) for s in sets.values()])
+            part = [s[: min(len(s), len(s) - least_overlap(len(s)) + len(s) // 20 + 1)] for s in sets.values()]
             owner = np.repeat(np.arange(len(sets)), [len(x) for x in part])
             h = np.concatenate(part)
             del sets, part
             rows = []
             for k, at in _requests(h, buckets):
                 own, local = np.unique(owner[at], return_inverse=True)
-                rows.append((k, h[at].tobytes(), local.astype("<u2").tobytes(), cls[own].tobytes(), n[own].astype("<i4").tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int32(), *[pa.binary()] * 4], strict=True)], ["bucket", "h", "owner", "classes", "sizes"])
+                rows.append((k, at_batch, h[at].tobytes(), local.astype("<u2").tobytes(), cls[own].tobytes(), n[own].astype("<i4").tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int32(), pa.int64(), *[pa.binary()] * 4], strict=True)], ["bucket", "batch", "h", "owner", "classes", "sizes"])
 
     def count(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hs, cs, ns = [], [], []
-        for g in batches:
-            for r in g.to_pylist():
-                own = np.frombuffer(r["owner"], "<u2")
-                hs.append(np.frombuffer(r["h"], np.uint64))
-                cs.append(np.frombuffer(r["classes"], np.int64)[own])
-                ns.append(np.frombuffer(r["sizes"], "<i4")[own])
-        h, c, n = np.concatenate(hs), np.concatenate(cs), np.concatenate(ns)
+        """A row for each batch: how many hashes of each class occur in another class too."""
+        rows = [r for g in batches for r in g.to_pylist()]
+        hs = [np.frombuffer(r["h"], np.uint64) for r in rows]
+        owners = [np.frombuffer(r["owner"], "<u2") for r in rows]
+        h = np.concatenate(hs)
+        c = np.concatenate([np.frombuffer(r["classes"], np.int64)[own] for r, own in zip(rows, owners, strict=True)])
         order = np.argsort(h, kind="stable")
-        h, c, n = h[order], c[order], n[order]
-        start = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-        size = np.diff(start, append=len(h))
+        start = np.flatnonzero(np.append(True, h[order][1:] != h[order][:-1]))
+        c = c[order]
         # Hashes of one class alone are copies of one set.
-        shared = np.repeat(np.minimum.reduceat(c, start) != np.maximum.reduceat(c, start), size)
-        # Copies of a class send the same hashes; only one of each counts.
-        c, h, n = c[shared], h[shared], n[shared]
-        order = np.lexsort((h, c))
-        c, h, n = c[order], h[order], n[order]
-        once = np.append(True, (c[1:] != c[:-1]) | (h[1:] != h[:-1])) if len(c) else np.zeros(0, bool)
-        c, n = c[once], n[once]
-        u, at, times = np.unique(c, return_index=True, return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(n[at], pa.int32()), pa.array(times, pa.int32())], ["cls", "n", "shared"])
-
-    dealt = docs.select("text").mapInArrow(deal, "bucket int, h binary, owner binary, classes binary, sizes binary")
-    got = dealt.groupBy("bucket").applyInArrow(count, "cls long, n int, shared int").groupBy("cls").agg(F.max("n").alias("n"), F.sum("shared").alias("shared"))
-    # k of a partner with at least 0.8 n shingles, and of this set itself; a set too small to have k hashes sends them all.
-    return got.where(F.col("shared") >= F.least(F.floor(F.floor(F.col("n") * 0.8) / 20) + 1, F.col("n"))).select("cls")
+        both = np.minimum.reduceat(c, start) != np.maximum.reduceat(c, start)
+        shared = np.empty(len(h), bool)
+        shared[order] = np.repeat(both, np.diff(start, append=len(h)))
+        at, times = 0, []
+        for r, own in zip(rows, owners, strict=True):
+            times.append(np.bincount(own[shared[at : at + len(own)]], minlength=len(r["sizes"]) // 4).astype("<i4").tobytes())
+            at += len(own)
+        cols = [[r["batch"] for r in rows], [r["classes"] for r in rows], [r["sizes"] for r in rows], times]
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, [pa.int64(), *[pa.binary()] * 3], strict=True)], ["batch", "classes", "sizes", "times"])
+
+    def passing(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The classes of a batch that have k shared hashes or more."""
+        rows = [r for g in batches for r in g.to_pylist()]
+        cls, at = np.unique(np.frombuffer(b"".join(r["classes"] for r in rows), np.int64), return_inverse=True)
+        times = np.bincount(at, np.frombuffer(b"".join(r["times"] for r in rows), "<i4"))
+        n = np.zeros(len(cls), np.int64)
+        n[at] = np.frombuffer(b"".join(r["sizes"] for r in rows), "<i4")
+        # k of a partner with at least 0.8 n shingles, and of this set itself; a set too small to have k hashes sends them all.
+        yield pa.RecordBatch.from_arrays([pa.array(cls[times >= np.minimum(n * 4 // 5 // 20 + 1, n)])], ["cls"])
+
+    dealt = docs.select("text").mapInArrow(deal, "bucket int, batch long, h binary, owner binary, classes binary, sizes binary")
+    counted = dealt.groupBy("bucket").applyInArrow(count, "batch long, classes binary, sizes binary, times binary")
+    return counted.groupBy("batch").applyInArrow(passing, "cls long").distinct()
 
 
 def _named_texts(docs: DataFrame, words: int) -> DataFrame:
@@ -209,77 +228,73 @@ class TOccurrence:
     """Sets so far, as inverted lists of ascending positions; finds those with enough shingles in common."""
 
     def __init__(self) -> None:
-        self.sets: list[np.ndarray] = []
+        self.sizes: list[int] = []
         self.lists: dict[int, list[int]] = {}
 
-    def search(self, s: np.ndarray, skip=lambda i: False) -> Iterator[int]:
+    def search(self, s: np.ndarray, skip: Callable[[int], bool] = lambda i: False) -> Iterator[int]:
         """Positions of earlier sets that link with s, by DivideSkip."""
         need = least_overlap(len(s))
         lists = sorted((x for x in map(self.lists.get, s.tolist()) if x), key=len)
         if len(lists) < need:
             return
-        # A set in `need` lists is in at least one of the others if need - 1 are left aside.
-        short, long = lists[: len(lists) - need + 1], lists[len(lists) - need + 1 :]
+        # The longer the longest list, the fewer are set aside; a set in `need` lists is in need - aside of the others.
+        aside = min(need - 1, int(need / (MU * math.log2(len(lists[-1])) + 1)))
+        short, long = lists[: len(lists) - aside], lists[len(lists) - aside :]
         last, times = -1, 0
-        for i in [*heapq.merge(*short), 1 << 62]:
+        for i in [*short[0], 1 << 62] if len(short) == 1 else _ended(heapq.merge(*short)):
             if i == last:
                 times += 1
                 continue
-            if last >= 0 and not skip(last) and self._probe(s, last, times, long):
+            if last >= 0 and times >= need - aside and not skip(last) and self._probe(len(s), last, times, long):
                 yield last
             last, times = i, 1
 
-    def _probe(self, s: np.ndarray, i: int, times: int, long: list[list[int]]) -> bool:
-        other = self.sets[i]
-        need = -(-SIMILARITY[0] * (len(s) + len(other)) // (SIMILARITY[0] + SIMILARITY[1]))
-        if times + len(long) < need or min(len(s), len(other)) < need:
-            return False
-        # Probing i in each long list is looking up the list's shingle in the sorted set i.
-        at = np.searchsorted(other, s)
-        at[at == len(other)] = 0
-        return linked(len(s), len(other), int((other[at] == s).sum()))
+    def _probe(self, n: int, i: int, times: int, long: list[list[int]]) -> bool:
+        """Whether set i, in `times` short lists, is in enough long ones."""
+        need = -(-SIMILARITY[0] * (n + self.sizes[i]) // (SIMILARITY[0] + SIMILARITY[1]))
+        for left, x in zip(range(len(long), 0, -1), long, strict=True):
+            if times >= need or times + left < need:
+                break
+            at = bisect_left(x, i)
+            times += at < len(x) and x[at] == i
+        return times >= need
 
     def add(self, s: np.ndarray) -> None:
-        i = len(self.sets)
-        self.sets.append(s)
+        i = len(self.sizes)
+        self.sizes.append(len(s))
         for x in s.tolist():
             self.lists.setdefault(x, []).append(i)
 
 
-def _count_within(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(cls, documents of other classes that link with it) in a group's components; of two blocks only the links between them."""
-    comps: dict[int, dict] = {}
+def _ended(positions: Iterator[int]) -> Iterator[int]:
+    yield from positions
+    yield 1 << 62
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     for g in batches:
         for r in g.to_pylist():
-            comps.setdefault(r["comp"], {})[r["cls"]] = (np.frombuffer(r["s"], np.uint64), r["block"], r["copies"])
-    found: dict[int, int] = {}
+            yield r | {"s": np.frombuffer(r["s"], np.uint64)}
+
+
+def _by_comp(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
+    """Each component's rows, small sets first."""
+    comps: dict[int, dict[int, dict]] = {}
+    for r in _rows(batches):
+        comps.setdefault(r["comp"], {})[r["cls"]] = r
     for docs in comps.values():
-        index, before = TOccurrence(), []
-        two = len({k for _, k, _ in docs.values()}) > 1
-        for cls, (s, block, copies) in sorted(docs.items(), key=lambda x: (len(x[1][0]), x[0])):
-            for i in index.search(s, lambda i, block=block: two and before[i][1] == block):
-                other, _, its = before[i]
-                found[cls] = found.get(cls, 0) + its
-                found[other] = found.get(other, 0) + copies
-            index.add(s)
-            before.append((cls, block, copies))
-    yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.int64())], ["cls", "n"])
+        yield sorted(docs.values(), key=lambda r: (len(r["s"]), r["cls"]))
 
 
 def _within(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links of a group's components that join different parts of a component; all of its documents, or those of two blocks."""
-    comps: dict[int, dict] = {}
-    for g in batches:
-        for r in g.to_pylist():
-            comps.setdefault(r["comp"], {})[r["cls"]] = (np.frombuffer(r["s"], np.uint64), r["block"])
+    """Links that join different parts of a block."""
     a, b = [], []
-    for docs in comps.values():
-        forest, index, names, blocks = Forest(), TOccurrence(), [], []
-        two = len({k for _, k in docs.values()}) > 1
+    for docs in _by_comp(batches):
+        forest, index, names = Forest(), TOccurrence(), []
         parts = 0  # of those added so far
-        for cls, (s, block) in sorted(docs.items(), key=lambda x: (x[1][1], len(x[1][0]), x[0])):
-            joined = 0
-            for i in index.search(s, lambda i, cls=cls, block=block: (two and blocks[i] == block) or forest.find(names[i]) == forest.find(cls)):
+        for r in docs:
+            cls, joined = r["cls"], 0
+            for i in index.search(r["s"], lambda i, cls=cls: forest.find(names[i]) == forest.find(cls)):
                 forest.union(names[i], cls)
                 a.append(cls)
                 b.append(names[i])
@@ -287,14 +302,59 @@ def _within(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
                 if joined == parts:  # connected with all of them
                     break
             parts += 1 - joined
-            index.add(s)
+            index.add(r["s"])
             names.append(cls)
-            blocks.append(block)
     yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
-def _pairs(sets: DataFrame, comps: DataFrame, *more: str) -> DataFrame:
-    """(pair, comp, block, cls, s) and more columns of comps: the sets of each component, dealt to pairs of its blocks."""
+def _across(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links between the asking documents and a block's that join different parts."""
+    forest, index, names, asks = Forest(), TOccurrence(), [], []
+    for r in _rows(batches):
+        forest.union(r["cls"], r["part"])
+        if r["asks"]:
+            asks.append(r)
+        else:
+            index.add(r["s"])
+            names.append(r["cls"])
+    a, b = [], []
+    for r in asks:
+        cls = r["cls"]
+        for i in index.search(r["s"], lambda i, cls=cls: forest.find(names[i]) == forest.find(cls)):
+            forest.union(names[i], cls)
+            a.append(cls)
+            b.append(names[i])
+    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
+def _count_within(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(cls, documents of other classes that link with it) in components of one block."""
+    found: dict[int, int] = {}
+    for docs in _by_comp(batches):
+        index = TOccurrence()
+        for r in docs:
+            for i in index.search(r["s"]):
+                found[r["cls"]] = found.get(r["cls"], 0) + docs[i]["copies"]
+                found[docs[i]["cls"]] = found.get(docs[i]["cls"], 0) + r["copies"]
+            index.add(r["s"])
+    yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.int64())], ["cls", "n"])
+
+
+def _count_across(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(cls, documents of a block that link with it) of the asking documents."""
+    index, of, asks = TOccurrence(), [], []
+    for r in _rows(batches):
+        if r["asks"]:
+            asks.append(r)
+        else:
+            index.add(r["s"])
+            of.append((r["cls"], r["copies"]))
+    n = [sum(of[i][1] for i in index.search(r["s"], lambda i, cls=r["cls"]: of[i][0] == cls)) for r in asks]
+    yield pa.RecordBatch.from_arrays([pa.array([r["cls"] for r in asks], pa.int64()), pa.array(n, pa.int64())], ["cls", "n"])
+
+
+def _each_set(sets: DataFrame) -> DataFrame:
+    """(cls, s)"""
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -303,29 +363,80 @@ def _pairs(sets: DataFrame, comps: DataFrame, *more: str) -> DataFrame:
                 end = np.cumsum(size)
                 yield pa.RecordBatch.from_arrays([pa.array(cls), pa.array([h[e - n : e].tobytes() for e, n in zip(end.tolist(), size.tolist(), strict=True)], pa.binary())], ["cls", "s"])
 
-    spark = sets.sparkSession
-    each = sets.mapInArrow(unpack, "cls long, s binary").join(comps, "cls")
-    each = each.join(comps.groupBy("comp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "comp")
-    each = each.withColumn("block", F.pmod(F.xxhash64("cls"), "blocks").cast("int"))
-    groups = 8 * fan_out(spark)
-    # Two blocks meet in the group (lower, higher); a component of one block shares a group with others.
-    each = each.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    pair = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("comp"), F.lit(groups))).otherwise(F.xxhash64("comp", F.least("block", "with"), F.greatest("block", "with")))
-    return each.select(pair.alias("pair"), "comp", "block", "cls", "s", *more)
+    return sets.mapInArrow(unpack, "cls long, s binary")
+
+
+def _blocks(members: DataFrame, salt: int = 0) -> DataFrame:
+    """members (cls, comp, ...) with the number of their component's blocks and their own."""
+    n = members.groupBy("comp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    return members.join(n, "comp").withColumn("block", F.pmod(F.xxhash64("cls", F.lit(salt)), "blocks").cast("int"))
 
 
-def _links(sets: DataFrame, comps: DataFrame) -> DataFrame:
-    """Step 3: enough links to connect all documents that are connected."""
-    return _pairs(sets, comps).groupBy("pair").applyInArrow(_within, "a long, b long")
+def _groups(blocked: DataFrame) -> DataFrame:
+    """blocked with `pair`, which names a task's group: a block, or several components of one block."""
+    few = F.pmod(F.xxhash64("comp"), F.lit(-(-blocked.count() // BLOCK) or 1))
+    return blocked.withColumn("pair", F.when(F.col("blocks") == 1, few).otherwise(F.xxhash64("comp", "block")))
 
 
-def _candidates(docs: DataFrame, words: int, key: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, list[str]]:
-    """Steps 1 and 2: (doc_id, n_shingles, cls) of every row, (cls, first, copies), SETS and (cls, comp) of what may link; paths to release."""
+def _meet(sets: DataFrame, blocked: DataFrame, asking: Column, rare: DataFrame, *more: str) -> DataFrame:
+    """(pair, asks, cls, s) and more columns: every block with the asking documents that have a rare hash in common with it.
+
+    The asking documents of a block are dealt to as many groups as keep them bounded; its own go to each.
+    """
+    hashes = blocked.select("cls", "comp", "block", asking.alias("asks")).join(rare, "cls")
+    at = hashes.select("h", "comp", "block").distinct()
+    asks = hashes.where("asks").select("cls", "h", "comp").join(at, ["h", "comp"]).select("cls", "comp", "block").distinct()
+    asks, path = materialise(asks, "asks")
+    chunks = asks.groupBy("comp", "block").agg(F.ceil(F.count("*") / (2 * BLOCK)).cast("int").alias("chunks"))
+    asks = asks.join(chunks, ["comp", "block"]).withColumn("chunk", F.pmod(F.xxhash64("cls"), "chunks").cast("int"))
+    asks = asks.join(blocked.select("cls", *more), "cls").withColumn("asks", F.lit(True))
+    own = blocked.join(chunks, ["comp", "block"]).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("asks", F.lit(False))
+    cols = [F.xxhash64("comp", "block", "chunk").alias("pair"), "asks", "cls", *more]
+    return asks.select(cols).unionByName(own.select(cols)).join(_each_set(sets), "cls")
+
+
+def _links(sets: DataFrame, comps: DataFrame, rare: DataFrame) -> DataFrame:
+    """Steps 3 and 4, written: (a, b), enough links to connect all documents that are connected."""
+    kind, spark = "a long, b long", sets.sparkSession
+    blocked, p_blocked = materialise(_groups(_blocks(comps)), "blocked")
+    within = blocked.select("pair", "comp", "cls").join(_each_set(sets), "cls").groupBy("pair").applyInArrow(_within, kind)
+    links, path = materialise(within, "links")
+    large = blocked.where("blocks > 1")
+    if large.isEmpty():
+        release(spark, p_blocked)
+        return links
+    paths, before, salt = [path], None, 0
+    while True:
+        # Parts of the large components by the links so far.
+        of = components(links).select(F.col("node").alias("cls"), F.col("component").alias("part"))
+        parts, p_parts = materialise(large.join(of, "cls", "left").select("cls", "comp", "block", F.coalesce("part", "cls").alias("part")), "parts")
+        sizes = parts.groupBy("comp", "part").agg(F.count("*").alias("n"), F.min("cls").alias("cls"))
+        several = sizes.groupBy("comp").agg(F.count("*").alias("parts"), F.max(F.struct("n", F.col("part").alias("home"))).alias("top")).where("parts > 1").select("comp", "top.home")
+        reps, p_reps = materialise(_groups(_blocks(sizes.join(several, "comp").select("cls", "comp"), salt)), "parts")
+        n = reps.count()
+        if n == 0 or (before is not None and n > 0.7 * before):
+            break
+        found, path = materialise(reps.select("pair", "comp", "cls").join(_each_set(sets), "cls").groupBy("pair").applyInArrow(_within, kind), "links")
+        release(spark, p_parts, p_reps)
+        paths.append(path)
+        links, before, salt = spark.read.schema(kind).parquet(*paths), n, salt + 1
+    if n:
+        members = parts.join(several, "comp").drop("blocks")
+        asks = _meet(sets, members, F.col("part") != F.col("home"), rare, "part")
+        _, path = materialise(asks.groupBy("pair").applyInArrow(_across, kind), "links")
+        paths.append(path)
+    release(spark, p_blocked, p_parts, p_reps)
+    return spark.read.schema(kind).parquet(*paths)
+
+
+def _candidates(docs: DataFrame, words: int, key: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame, list[str]]:
+    """Steps 1 and 2: (doc_id, n_shingles, cls) of every row, (cls, first, copies), SETS, (cls, h) and (cls, comp) of what may link; paths to release."""
     d = docs.select(docs[key].cast("long").alias("doc_id"), docs[text].alias("text"))
-    buckets = max(8, fan_out(docs.sparkSession))
+    least = max(8, fan_out(docs.sparkSession))
     named, _ = materialise(_digests(d, words), "digests")
+    total = named.agg(F.sum("n_shingles")).first()[0] or 0
     per_class, _ = materialise(named.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")), "classes")
-    passed, p1 = materialise(_first_filter(d, words, buckets), "passed")
+    passed, p1 = materialise(_first_filter(d, words, max(least, total // BUCKET_HASHES)), "passed")
     # One document stands for a class; its text is read again.
     one = per_class.join(passed, "cls").select("cls", F.col("first").alias("its"))
     texts = d.join(one.hint("shuffle_hash"), F.col("doc_id") == F.col("its")).select("cls", "text")
@@ -333,11 +444,12 @@ def _candidates(docs: DataFrame, words: int, key: str, text: str) -> tuple[DataF
     nameless = _named_texts(d.where("doc_id is null"), words).join(one.where("its is null").select("cls").hint("shuffle_hash"), "cls", "left_semi")
     texts = texts.unionByName(nameless.dropDuplicates(["cls"]))
     sets, p2 = materialise(_pack_sets(texts, words), "sets")
-    rare, p3 = materialise(_rare(sets, buckets), "rare")
+    total = (sets.agg(F.sum(F.length("hashes"))).first()[0] or 0) // 8
+    rare, p3 = materialise(_rare(sets, max(least, total // BUCKET_HASHES)), "rare")
     hubs = rare.groupBy("h").agg(F.min("cls").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
     near = components(rare.join(hubs, "h").where("cls != hub").select("cls", "hub"))
     comps, p4 = materialise(near.select(F.col("node").alias("cls"), F.col("component").alias("comp")), "near")
-    return named, per_class, sets, comps, [p1, p2, p3, p4]
+    return named, per_class, sets, rare, comps, [p1, p2, p3, p4]
 
 
 def classes(docs: DataFrame, words: int = WORDS, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -347,9 +459,8 @@ def classes(docs: DataFrame, words: int = WORDS, key: str = "doc_id", text: str
 
 def _grouped(docs: DataFrame, words: int = WORDS, key: str = "doc_id", text: str = "text") -> DataFrame:
     """classes() with cls, which names a row's set, and root, which names its component; both null for an empty set."""
-    named, per_class, sets, comps, paths = _candidates(docs, words, key, text)
-    links, _ = materialise(_links(sets, comps), "links")
-    root = components(links).select(F.col("node").alias("cls"), F.col("component").alias("root"))
+    named, per_class, sets, rare, comps, paths = _candidates(docs, words, key, text)
+    root = components(_links(sets, comps, rare)).select(F.col("node").alias("cls"), F.col("component").alias("root"))
     ids = per_class.join(root, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     ids = ids.join(ids.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("cls", "root", "component_id")
     out = named.join(ids, "cls", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "cls", "root")
@@ -362,10 +473,14 @@ def link_counts(docs: DataFrame, words: int = WORDS, key: str = "doc_id", text:
 
     This searches for every link, which classes() doesn't need; its work grows with their number.
     """
-    named, per_class, sets, comps, paths = _candidates(docs, words, key, text)
-    counted = _pairs(sets, comps.join(per_class.select("cls", "copies"), "cls"), "copies").groupBy("pair").applyInArrow(_count_within, "cls long, n long")
+    named, per_class, sets, rare, comps, paths = _candidates(docs, words, key, text)
+    blocked, p_blocked = materialise(_groups(_blocks(comps)).join(per_class.select("cls", "copies"), "cls"), "blocked")
+    small, large = blocked.where("blocks = 1"), blocked.where("blocks > 1")
+    counted = small.select("pair", "comp", "cls", "copies").join(_each_set(sets), "cls").groupBy("pair").applyInArrow(_count_within, "cls long, n long")
+    if not large.isEmpty():
+        counted = counted.unionByName(_meet(sets, large, F.lit(True), rare, "copies").groupBy("pair").applyInArrow(_count_across, "cls long, n long"))
     found, _ = materialise(counted.groupBy("cls").agg(F.sum("n").alias("n")), "counts")
-    release(docs.sparkSession, *paths)
+    release(docs.sparkSession, *paths, p_blocked)
     each = per_class.join(found, "cls", "left").select("cls", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     return named.join(each, "cls", "left").select("doc_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 

@@ -1,4 +1,4 @@
-"""Neighbour search over trees of many leaves against a scan of all rows."""
+"""Searches whose groups are many: trees of many leaves, components of many blocks."""
 
 from collections import defaultdict
 
@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from hirelane.llm import ann
+from hirelane.llm import ann, ngram_join
 
 
 def exact(x, q, k=20):
@@ -51,3 +51,20 @@ def test_repeated_ids_stay_bounded_and_are_searched_once(spark, monkeypatch):
     got = ann.search(df, recall=1.0).orderBy("query_id", "rank").collect()
     assert {r.query_id for r in got} == {0, 20, 40} and all(r.query_id != r.vec_id for r in got)
     assert [r.rank for r in got if r.query_id == 0] == list(range(1, 21))
+
+
+@pytest.mark.parametrize("block", [4, 7])
+def test_ngram_components_that_chain(spark, monkeypatch, block):
+    """Texts that slide over one long sequence: neighbours link, distant ones don't, and gaps cut the chain."""
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    words = [f"w{i}" for i in range(900)]
+    starts = [i * 6 for i in range(40)] + [400 + i * 6 for i in range(20)] + [600, 640, 680]
+    rows = [(i, " ".join(words[at : at + 120])) for i, at in enumerate(starts)]
+    sets = [set(range(at, at + 116)) for at in starts]
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                root = [min(root[i], root[j]) if r in (root[i], root[j]) else r for r in root]
+    got = {r.doc_id: r.component_id for r in ngram_join.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == dict(enumerate(root)) and 3 < len(set(root)) < 10
