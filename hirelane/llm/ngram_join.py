@@ -12,9 +12,9 @@ T = ceil(0.8 n) of them, so:
 3. ``_links``: a component's documents are dealt to blocks.  Within a block a document searches the earlier ones for T occurrences as
    DivideSkip does: its short inverted lists are merged by a heap, its long lists are only probed by binary
    search for the candidates of the merge.  Documents that are already known to be connected aren't probed.
-4. Of a component of several blocks, one document of each connected part goes on to blocks of its own while this halves the
-   parts or nearly so.  At last every document outside its component's largest part is searched for in each block that
-   holds one of its rare hashes.
+4. Some documents of a component of several blocks, its pivots, take part in each of them, so most blocks are connected by
+   now.  Every document outside its component's largest part is searched for in each block that holds one of its rare
+   hashes.
 
 Nothing is sampled and no list is cut.  Null, empty and blank texts have no shingles and link with nothing; a very long text
 is one set like any other.  Repeated rows are documents of their own; a null id names no component.  An empty table gives
@@ -43,6 +43,8 @@ from .util import fan_out, materialise, release
 SIMILARITY = (80, 100)
 #: Documents of a packed batch, and of a block of a large component.
 BATCH, BLOCK = 250, 500
+#: Documents of a component that take part in each of its blocks.
+PIVOTS = 8
 #: Hashes that a bucket counts at once.
 BUCKET_HASHES = 1 << 22
 #: The cost of probing a list against merging it, as DivideSkip's authors found it.
@@ -366,15 +368,11 @@ def _each_set(sets: DataFrame) -> DataFrame:
     return sets.mapInArrow(unpack, "cls long, s binary")
 
 
-def _blocks(members: DataFrame, salt: int = 0) -> DataFrame:
-    """members (cls, comp, ...) with the number of their component's blocks and their own."""
-    n = members.groupBy("comp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    return members.join(n, "comp").withColumn("block", F.pmod(F.xxhash64("cls", F.lit(salt)), "blocks").cast("int"))
-
-
-def _groups(blocked: DataFrame) -> DataFrame:
-    """blocked with `pair`, which names a task's group: a block, or several components of one block."""
-    few = F.pmod(F.xxhash64("comp"), F.lit(-(-blocked.count() // BLOCK) or 1))
+def _blocks(comps: DataFrame) -> DataFrame:
+    """comps (cls, comp) with the number of their component's blocks, their own, and `pair`, which names a task's group: a block, or several components of one block."""
+    n = comps.groupBy("comp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    few = F.pmod(F.xxhash64("comp"), F.lit(-(-comps.count() // BLOCK) or 1))
+    blocked = comps.join(n, "comp").withColumn("block", F.pmod(F.xxhash64("cls"), "blocks").cast("int"))
     return blocked.withColumn("pair", F.when(F.col("blocks") == 1, few).otherwise(F.xxhash64("comp", "block")))
 
 
@@ -398,35 +396,25 @@ def _meet(sets: DataFrame, blocked: DataFrame, asking: Column, rare: DataFrame,
 def _links(sets: DataFrame, comps: DataFrame, rare: DataFrame) -> DataFrame:
     """Steps 3 and 4, written: (a, b), enough links to connect all documents that are connected."""
     kind, spark = "a long, b long", sets.sparkSession
-    blocked, p_blocked = materialise(_groups(_blocks(comps)), "blocked")
-    within = blocked.select("pair", "comp", "cls").join(_each_set(sets), "cls").groupBy("pair").applyInArrow(_within, kind)
-    links, path = materialise(within, "links")
+    blocked, p_blocked = materialise(_blocks(comps), "blocked")
     large = blocked.where("blocks > 1")
+    # The pivots of a component take part in each of its blocks.
+    pivots = large.groupBy("comp", "blocks", F.pmod(F.xxhash64("cls", F.lit(1)), F.lit(PIVOTS))).agg(F.min("cls").alias("cls"))
+    pivots = pivots.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(F.xxhash64("comp", "block").alias("pair"), "comp", "cls")
+    dealt = blocked.select("pair", "comp", "cls").unionByName(pivots).join(_each_set(sets), "cls")
+    links, path = materialise(dealt.groupBy("pair").applyInArrow(_within, kind), "links")
     if large.isEmpty():
         release(spark, p_blocked)
         return links
-    paths, before, salt = [path], None, 0
-    while True:
-        # Parts of the large components by the links so far.
-        of = components(links).select(F.col("node").alias("cls"), F.col("component").alias("part"))
-        parts, p_parts = materialise(large.join(of, "cls", "left").select("cls", "comp", "block", F.coalesce("part", "cls").alias("part")), "parts")
-        sizes = parts.groupBy("comp", "part").agg(F.count("*").alias("n"), F.min("cls").alias("cls"))
-        several = sizes.groupBy("comp").agg(F.count("*").alias("parts"), F.max(F.struct("n", F.col("part").alias("home"))).alias("top")).where("parts > 1").select("comp", "top.home")
-        reps, p_reps = materialise(_groups(_blocks(sizes.join(several, "comp").select("cls", "comp"), salt)), "parts")
-        n = reps.count()
-        if n == 0 or (before is not None and n > 0.7 * before):
-            break
-        found, path = materialise(reps.select("pair", "comp", "cls").join(_each_set(sets), "cls").groupBy("pair").applyInArrow(_within, kind), "links")
-        release(spark, p_parts, p_reps)
-        paths.append(path)
-        links, before, salt = spark.read.schema(kind).parquet(*paths), n, salt + 1
-    if n:
-        members = parts.join(several, "comp").drop("blocks")
-        asks = _meet(sets, members, F.col("part") != F.col("home"), rare, "part")
-        _, path = materialise(asks.groupBy("pair").applyInArrow(_across, kind), "links")
-        paths.append(path)
-    release(spark, p_blocked, p_parts, p_reps)
-    return spark.read.schema(kind).parquet(*paths)
+    # Parts of the large components by the links so far.
+    of = components(links).select(F.col("node").alias("cls"), F.col("component").alias("part"))
+    parts, p_parts = materialise(large.join(of, "cls", "left").select("cls", "comp", "block", F.coalesce("part", "cls").alias("part")), "parts")
+    sizes = parts.groupBy("comp", "part").agg(F.count("*").alias("n"))
+    several = sizes.groupBy("comp").agg(F.count("*").alias("parts"), F.max(F.struct("n", F.col("part").alias("home"))).alias("top")).where("parts > 1").select("comp", "top.home")
+    asks = _meet(sets, parts.join(several, "comp"), F.col("part") != F.col("home"), rare, "part")
+    _, more = materialise(asks.groupBy("pair").applyInArrow(_across, kind), "links")
+    release(spark, p_blocked, p_parts)
+    return spark.read.schema(kind).parquet(path, more)
 
 
 def _candidates(docs: DataFrame, words: int, key: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame, list[str]]:
@@ -474,7 +462,7 @@ def link_counts(docs: DataFrame, words: int = WORDS, key: str = "doc_id", text:
     This searches for every link, which classes() doesn't need; its work grows with their number.
     """
     named, per_class, sets, rare, comps, paths = _candidates(docs, words, key, text)
-    blocked, p_blocked = materialise(_groups(_blocks(comps)).join(per_class.select("cls", "copies"), "cls"), "blocked")
+    blocked, p_blocked = materialise(_blocks(comps).join(per_class.select("cls", "copies"), "cls"), "blocked")
     small, large = blocked.where("blocks = 1"), blocked.where("blocks > 1")
     counted = small.select("pair", "comp", "cls", "copies").join(_each_set(sets), "cls").groupBy("pair").applyInArrow(_count_within, "cls long, n long")
     if not large.isEmpty():
