@@ -283,15 +283,18 @@ def _by_comp(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
     """Each component's rows, small sets first."""
     comps: dict[int, dict[int, dict]] = {}
     for r in _rows(batches):
-        comps.setdefault(r["comp"], {})[r["cls"]] = r
+        docs = comps.setdefault(r["comp"], {})
+        if r.get("again") or r["cls"] not in docs:
+            docs[r["cls"]] = r
     for docs in comps.values():
         yield sorted(docs.values(), key=lambda r: (len(r["s"]), r["cls"]))
 
 
 def _within(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links that join different parts of a block."""
-    a, b = [], []
+    """Links (a, b) that join different parts of a block; and as (a, null, s) the sets that step 4 needs again."""
+    kind = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("s", pa.binary())])
     for docs in _by_comp(batches):
+        a, b = [], []
         forest, index, names = Forest(), TOccurrence(), []
         parts = 0  # of those added so far
         for r in docs:
@@ -306,7 +309,9 @@ def _within(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
             parts += 1 - joined
             index.add(r["s"])
             names.append(cls)
-    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        kept = [r for r in docs if r["again"]]
+        rows = [[*a, *(r["cls"] for r in kept)], [*b, *[None] * len(kept)], [*[None] * len(a), *(r["s"].tobytes() for r in kept)]]
+        yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(rows, kind, strict=True)], schema=kind)
 
 
 def _across(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -376,7 +381,7 @@ def _blocks(comps: DataFrame) -> DataFrame:
     return blocked.withColumn("pair", F.when(F.col("blocks") == 1, few).otherwise(F.xxhash64("comp", "block")))
 
 
-def _meet(sets: DataFrame, blocked: DataFrame, asking: Column, rare: DataFrame, *more: str) -> DataFrame:
+def _meet(each: DataFrame, blocked: DataFrame, asking: Column, rare: DataFrame, *more: str) -> DataFrame:
     """(pair, asks, cls, s) and more columns: every block with the asking documents that have a rare hash in common with it.
 
     The asking documents of a block are dealt to as many groups as keep them bounded; its own go to each.
@@ -390,19 +395,20 @@ def _meet(sets: DataFrame, blocked: DataFrame, asking: Column, rare: DataFrame,
     asks = asks.join(blocked.select("cls", *more), "cls").withColumn("asks", F.lit(True))
     own = blocked.join(chunks, ["comp", "block"]).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("asks", F.lit(False))
     cols = [F.xxhash64("comp", "block", "chunk").alias("pair"), "asks", "cls", *more]
-    return asks.select(cols).unionByName(own.select(cols)).join(_each_set(sets), "cls")
+    return asks.select(cols).unionByName(own.select(cols)).join(each, "cls")
 
 
 def _links(sets: DataFrame, comps: DataFrame, rare: DataFrame) -> DataFrame:
     """Steps 3 and 4, written: (a, b), enough links to connect all documents that are connected."""
-    kind, spark = "a long, b long", sets.sparkSession
+    spark = sets.sparkSession
     blocked, p_blocked = materialise(_blocks(comps), "blocked")
     large = blocked.where("blocks > 1")
     # The pivots of a component take part in each of its blocks.
     pivots = large.groupBy("comp", "blocks", F.pmod(F.xxhash64("cls", F.lit(1)), F.lit(PIVOTS))).agg(F.min("cls").alias("cls"))
-    pivots = pivots.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(F.xxhash64("comp", "block").alias("pair"), "comp", "cls")
-    dealt = blocked.select("pair", "comp", "cls").unionByName(pivots).join(_each_set(sets), "cls")
-    links, path = materialise(dealt.groupBy("pair").applyInArrow(_within, kind), "links")
+    pivots = pivots.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(F.xxhash64("comp", "block").alias("pair"), "comp", "cls", F.lit(False).alias("again"))
+    dealt = blocked.select("pair", "comp", "cls", (F.col("blocks") > 1).alias("again")).unionByName(pivots).join(_each_set(sets), "cls")
+    found, _ = materialise(dealt.groupBy("pair").applyInArrow(_within, "a long, b long, s binary"), "links")
+    links = found.where("s is null").select("a", "b")
     if large.isEmpty():
         release(spark, p_blocked)
         return links
@@ -411,10 +417,10 @@ def _links(sets: DataFrame, comps: DataFrame, rare: DataFrame) -> DataFrame:
     parts, p_parts = materialise(large.join(of, "cls", "left").select("cls", "comp", "block", F.coalesce("part", "cls").alias("part")), "parts")
     sizes = parts.groupBy("comp", "part").agg(F.count("*").alias("n"))
     several = sizes.groupBy("comp").agg(F.count("*").alias("parts"), F.max(F.struct("n", F.col("part").alias("home"))).alias("top")).where("parts > 1").select("comp", "top.home")
-    asks = _meet(sets, parts.join(several, "comp"), F.col("part") != F.col("home"), rare, "part")
-    _, more = materialise(asks.groupBy("pair").applyInArrow(_across, kind), "links")
+    asks = _meet(found.where("s is not null").select(F.col("a").alias("cls"), "s"), parts.join(several, "comp"), F.col("part") != F.col("home"), rare, "part")
+    more, _ = materialise(asks.groupBy("pair").applyInArrow(_across, "a long, b long"), "links")
     release(spark, p_blocked, p_parts)
-    return spark.read.schema(kind).parquet(path, more)
+    return links.unionByName(more)
 
 
 def _candidates(docs: DataFrame, words: int, key: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame, list[str]]:
@@ -466,7 +472,7 @@ def link_counts(docs: DataFrame, words: int = WORDS, key: str = "doc_id", text:
     small, large = blocked.where("blocks = 1"), blocked.where("blocks > 1")
     counted = small.select("pair", "comp", "cls", "copies").join(_each_set(sets), "cls").groupBy("pair").applyInArrow(_count_within, "cls long, n long")
     if not large.isEmpty():
-        counted = counted.unionByName(_meet(sets, large, F.lit(True), rare, "copies").groupBy("pair").applyInArrow(_count_across, "cls long, n long"))
+        counted = counted.unionByName(_meet(_each_set(sets), large, F.lit(True), rare, "copies").groupBy("pair").applyInArrow(_count_across, "cls long, n long"))
     found, _ = materialise(counted.groupBy("cls").agg(F.sum("n").alias("n")), "counts")
     release(docs.sparkSession, *paths, p_blocked)
     each = per_class.join(found, "cls", "left").select("cls", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
