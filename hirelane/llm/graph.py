@@ -59,17 +59,18 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield stars()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, files: int | None = None) -> DataFrame:
     """(node, component) of every node with an edge to another; edges has two long columns.
 
     Every task first reduces its edges to stars.  While more than ONE_TASK edges are left, large-star and small-star steps
     alternate: a node's neighbours are hung under the smallest one, which needs a minimum per node (combined before
     the shuffle) and a join, never a list of neighbours.  Every round is written to the shared folder.  component
-    is the smallest node.
+    is the smallest node.  files: how many the first round is written to, if not one a task.
     """
     a, b = edges.columns[:2]
     kind = "u long, v long"
-    e, path = materialise(edges.where(F.col(a) != F.col(b)).select(F.col(a).alias("u"), F.col(b).alias("v")).mapInArrow(_contract, kind), "edges")
+    e = edges.where(F.col(a) != F.col(b)).select(F.col(a).alias("u"), F.col(b).alias("v")).mapInArrow(_contract, kind)
+    e, path = materialise(e.repartition(files) if files else e, "edges")
     before, now = None, (e.count(), None)
     while now != before:
         if now[0] <= ONE_TASK:

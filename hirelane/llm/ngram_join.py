@@ -43,6 +43,10 @@ from .util import fan_out, materialise, release
 SIMILARITY = (80, 100)
 #: Documents of a packed batch, and of a block of a large component.
 BATCH, BLOCK = 250, 500
+#: Hashes of a packed row, more only if one set has more.
+ROW_HASHES = 1 << 14
+#: Rows of a file of few numbers.
+ROWS_A_FILE = 1_000_000
 #: Documents of a component that take part in each of its blocks.
 PIVOTS = 8
 #: Hashes that a bucket counts at once.
@@ -172,10 +176,13 @@ def _pack_sets(docs: DataFrame, words: int) -> DataFrame:
         for b in _slices(batches):
             cls, sets = b.column(0).to_numpy(), shingle_sets(b.column(1).to_pylist(), words)
             mine = [i for i, s in enumerate(sets) if _class(s) == cls[i]]
-            if mine:
-                row = [at, cls[mine].tobytes(), np.array([len(sets[i]) for i in mine], "<i4").tobytes(), np.concatenate([sets[i] for i in mine]).tobytes()]
+            # Rows of moderate size, which the JVM handles best.
+            parts = np.cumsum([len(sets[i]) for i in mine]) // ROW_HASHES
+            for k in np.unique(parts).tolist():
+                own = [i for i, p in zip(mine, parts.tolist(), strict=True) if p == k]
+                row = [at, cls[own].tobytes(), np.array([len(sets[i]) for i in own], "<i4").tobytes(), np.concatenate([sets[i] for i in own]).tobytes()]
                 yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, [pa.int64(), *[pa.binary()] * 3], strict=True)], ["batch", "classes", "sizes", "hashes"])
-            at += 1
+                at += 1
 
     return docs.select("cls", "text").mapInArrow(run, SETS)
 
@@ -373,15 +380,15 @@ def _each_set(sets: DataFrame) -> DataFrame:
     return sets.mapInArrow(unpack, "cls long, s binary")
 
 
-def _blocks(comps: DataFrame) -> DataFrame:
-    """comps (cls, comp) with the number of their component's blocks, their own, and `pair`, which names a task's group: a block, or several components of one block."""
+def _blocks(comps: DataFrame, rows: int) -> DataFrame:
+    """comps (cls, comp) of so many rows with the number of their component's blocks, their own, and `pair`, which names a task's group: a block, or several components of one block."""
     n = comps.groupBy("comp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    few = F.pmod(F.xxhash64("comp"), F.lit(-(-comps.count() // BLOCK) or 1))
+    few = F.pmod(F.xxhash64("comp"), F.lit(-(-rows // BLOCK) or 1))
     blocked = comps.join(n, "comp").withColumn("block", F.pmod(F.xxhash64("cls"), "blocks").cast("int"))
     return blocked.withColumn("pair", F.when(F.col("blocks") == 1, few).otherwise(F.xxhash64("comp", "block")))
 
 
-def _meet(each: DataFrame, blocked: DataFrame, asking: Column, rare: DataFrame, *more: str) -> DataFrame:
+def _meet(each: DataFrame, blocked: DataFrame, asking: Column, rare: DataFrame, files: int, *more: str) -> DataFrame:
     """(pair, asks, cls, s) and more columns: every block with the asking documents that have a rare hash in common with it.
 
     The asking documents of a block are dealt to as many groups as keep them bounded; its own go to each.
@@ -389,7 +396,7 @@ def _meet(each: DataFrame, blocked: DataFrame, asking: Column, rare: DataFrame,
     hashes = blocked.select("cls", "comp", "block", asking.alias("asks")).join(rare, "cls")
     at = hashes.select("h", "comp", "block").distinct()
     asks = hashes.where("asks").select("cls", "h", "comp").join(at, ["h", "comp"]).select("cls", "comp", "block").distinct()
-    asks, path = materialise(asks, "asks")
+    asks, _ = materialise(asks.coalesce(files), "asks")
     chunks = asks.groupBy("comp", "block").agg(F.ceil(F.count("*") / (2 * BLOCK)).cast("int").alias("chunks"))
     asks = asks.join(chunks, ["comp", "block"]).withColumn("chunk", F.pmod(F.xxhash64("cls"), "chunks").cast("int"))
     asks = asks.join(blocked.select("cls", *more), "cls").withColumn("asks", F.lit(True))
@@ -401,7 +408,8 @@ def _meet(each: DataFrame, blocked: DataFrame, asking: Column, rare: DataFrame,
 def _links(sets: DataFrame, comps: DataFrame, rare: DataFrame) -> DataFrame:
     """Steps 3 and 4, written: (a, b), enough links to connect all documents that are connected."""
     spark = sets.sparkSession
-    blocked, p_blocked = materialise(_blocks(comps), "blocked")
+    n = comps.count()
+    blocked = _blocks(comps, n)
     large = blocked.where("blocks > 1")
     # The pivots of a component take part in each of its blocks.
     pivots = large.groupBy("comp", "blocks", F.pmod(F.xxhash64("cls", F.lit(1)), F.lit(PIVOTS))).agg(F.min("cls").alias("cls"))
@@ -410,27 +418,32 @@ def _links(sets: DataFrame, comps: DataFrame, rare: DataFrame) -> DataFrame:
     found, _ = materialise(dealt.groupBy("pair").applyInArrow(_within, "a long, b long, s binary"), "links")
     links = found.where("s is null").select("a", "b")
     if large.isEmpty():
-        release(spark, p_blocked)
         return links
     # Parts of the large components by the links so far.
     of = components(links).select(F.col("node").alias("cls"), F.col("component").alias("part"))
-    parts, p_parts = materialise(large.join(of, "cls", "left").select("cls", "comp", "block", F.coalesce("part", "cls").alias("part")), "parts")
+    parts, p_parts = materialise(large.join(of, "cls", "left").select("cls", "comp", "block", F.coalesce("part", "cls").alias("part")).coalesce(_files(n)), "parts")
     sizes = parts.groupBy("comp", "part").agg(F.count("*").alias("n"))
     several = sizes.groupBy("comp").agg(F.count("*").alias("parts"), F.max(F.struct("n", F.col("part").alias("home"))).alias("top")).where("parts > 1").select("comp", "top.home")
-    asks = _meet(found.where("s is not null").select(F.col("a").alias("cls"), "s"), parts.join(several, "comp"), F.col("part") != F.col("home"), rare, "part")
-    more, _ = materialise(asks.groupBy("pair").applyInArrow(_across, "a long, b long"), "links")
-    release(spark, p_blocked, p_parts)
+    asks = _meet(found.where("s is not null").select(F.col("a").alias("cls"), "s"), parts.join(several, "comp"), F.col("part") != F.col("home"), rare, _files(n), "part")
+    more, _ = materialise(asks.groupBy("pair").applyInArrow(_across, "a long, b long").repartition(_files(n)), "links")
+    release(spark, p_parts)
     return links.unionByName(more)
 
 
+def _files(rows: int) -> int:
+    """Files for a table of at most so many rows of a few numbers."""
+    return -(-rows // ROWS_A_FILE) or 1
+
+
 def _candidates(docs: DataFrame, words: int, key: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame, list[str]]:
     """Steps 1 and 2: (doc_id, n_shingles, cls) of every row, (cls, first, copies), SETS, (cls, h) and (cls, comp) of what may link; paths to release."""
     d = docs.select(docs[key].cast("long").alias("doc_id"), docs[text].alias("text"))
     least = max(8, fan_out(docs.sparkSession))
     named, _ = materialise(_digests(d, words), "digests")
-    total = named.agg(F.sum("n_shingles")).first()[0] or 0
-    per_class, _ = materialise(named.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")), "classes")
-    passed, p1 = materialise(_first_filter(d, words, max(least, total // BUCKET_HASHES)), "passed")
+    total, rows = named.agg(F.sum("n_shingles"), F.count("*")).first()
+    total, files = total or 0, _files(rows)
+    per_class = named.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"))
+    passed, p1 = materialise(_first_filter(d, words, max(least, total // BUCKET_HASHES)).coalesce(files), "passed")
     # One document stands for a class; its text is read again.
     one = per_class.join(passed, "cls").select("cls", F.col("first").alias("its"))
     texts = d.join(one.hint("shuffle_hash"), F.col("doc_id") == F.col("its")).select("cls", "text")
@@ -439,10 +452,10 @@ def _candidates(docs: DataFrame, words: int, key: str, text: str) -> tuple[DataF
     texts = texts.unionByName(nameless.dropDuplicates(["cls"]))
     sets, p2 = materialise(_pack_sets(texts, words), "sets")
     total = (sets.agg(F.sum(F.length("hashes"))).first()[0] or 0) // 8
-    rare, p3 = materialise(_rare(sets, max(least, total // BUCKET_HASHES)), "rare")
+    rare, p3 = materialise(_rare(sets, max(least, total // BUCKET_HASHES)).repartition(_files(total // 4)), "rare")
     hubs = rare.groupBy("h").agg(F.min("cls").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
-    near = components(rare.join(hubs, "h").where("cls != hub").select("cls", "hub"))
-    comps, p4 = materialise(near.select(F.col("node").alias("cls"), F.col("component").alias("comp")), "near")
+    near = components(rare.join(hubs, "h").where("cls != hub").select("cls", "hub"), _files(total // 4))
+    comps, p4 = materialise(near.select(F.col("node").alias("cls"), F.col("component").alias("comp")).coalesce(files), "near")
     return named, per_class, sets, rare, comps, [p1, p2, p3, p4]
 
 
@@ -468,11 +481,12 @@ def link_counts(docs: DataFrame, words: int = WORDS, key: str = "doc_id", text:
     This searches for every link, which classes() doesn't need; its work grows with their number.
     """
     named, per_class, sets, rare, comps, paths = _candidates(docs, words, key, text)
-    blocked, p_blocked = materialise(_blocks(comps).join(per_class.select("cls", "copies"), "cls"), "blocked")
+    n = comps.count()
+    blocked, p_blocked = materialise(_blocks(comps, n).join(per_class.select("cls", "copies"), "cls").coalesce(_files(n)), "blocked")
     small, large = blocked.where("blocks = 1"), blocked.where("blocks > 1")
     counted = small.select("pair", "comp", "cls", "copies").join(_each_set(sets), "cls").groupBy("pair").applyInArrow(_count_within, "cls long, n long")
     if not large.isEmpty():
-        counted = counted.unionByName(_meet(_each_set(sets), large, F.lit(True), rare, "copies").groupBy("pair").applyInArrow(_count_across, "cls long, n long"))
+        counted = counted.unionByName(_meet(_each_set(sets), large, F.lit(True), rare, _files(n), "copies").groupBy("pair").applyInArrow(_count_across, "cls long, n long"))
     found, _ = materialise(counted.groupBy("cls").agg(F.sum("n").alias("n")), "counts")
     release(docs.sparkSession, *paths, p_blocked)
     each = per_class.join(found, "cls", "left").select("cls", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
