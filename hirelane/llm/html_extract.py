@@ -14,7 +14,8 @@ article by the containers' meaning; where the page names none, of those that mee
 inside a named article stays even if it is the same on all pages, unless the block's own class names it as something else.
 
 A null or empty html gives an empty text; a null url is a host of its own; repeated pages give a row each; broken markup is
-read as far as it goes.
+read as far as it goes, in time linear in the page, however long.  An empty table gives no rows; other columns, whatever their
+names, are ignored.
 """
 
 from __future__ import annotations
@@ -45,7 +46,8 @@ CHROME = frozenset("head nav aside footer form dialog menu fieldset".split())
 CHROME_WORDS = re.compile(
     r"(?:^|[^a-z])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|notification|alert|popup|modal|overlay|newsletter|subscribe|signup|login|sidebar|side-bar|aside|rail|widget|menu|nav\w*|breadcrumbs?|pagination|pager|footer|masthead|topbar|toolbar|comments?|comment-\w+|replies|respond|disqus|discussion|share|sharing|social|related|recommend\w*|search\w*|skip-?link|complementary|contentinfo)(?:[^a-z]|$)"
 )
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\s+[^\s"'>/=]+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+))?|[^>])*?)/?>""", re.S)
+#: A tag's attributes are read once (possessive); a tag whose quotes swallow all that follows ends at its first ">".
+_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)(?:((?:=\s*+"[^"]*+"|=\s*+'[^']*+'|[^>])*+)>|([^>]*+)>)""", re.S)
 #: A tag that the page's end cuts off; the matcher of whole tags has taken all others.
 _UNFINISHED = re.compile(r"<(?:[a-zA-Z/!?][^<]*)?\Z")
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
@@ -83,30 +85,32 @@ def blocks(html: str | None) -> list[tuple[str, str, int]]:
     def close() -> None:
         nonlocal links, edge
         if text:
-            said = " ".join(unescape("".join(text)).split())
-            if said:
-                out.append((f"{edge}{path}|{tag}", said, min(links, len(said))))
+            whole = " ".join(unescape("".join(text)).split())
+            if whole:
+                out.append((f"{edge}{path}|{tag}", whole, min(links, len(whole))))
                 edge = ""
             text.clear()
             links = 0
 
-    skip_to = -1
-    for m in _TOKEN.finditer(html):
-        if m.start() < skip_to:
-            continue
+    # Beyond the last ">" there is no tag, so every "<" before it is matched or not within one pass.
+    stop_at = html.rfind(">") + 1
+    while m := _TOKEN.search(html, at, stop_at):
         if m.start() > at:
             text.append(html[at : m.start()])
             if in_link:
                 links += m.start() - at
         at = m.end()
         if m[2] is None:
+            if at == stop_at and m[0].startswith(("<!--", "<![CDATA[")) and not m[0].endswith(("-->", "]]>")):
+                at = len(html)
+                break
             continue
-        name, ends = m[2].lower(), bool(m[1])
+        name, ends, said = m[2].lower(), bool(m[1]), m[3] if m[3] is not None else m[4]
         if name in RAW and not ends:
             if m[0].endswith("/>") and name in ("svg", "math"):
                 continue
             stop = re.compile(rf"</{name}\s*>", re.I).search(html, at)
-            at = skip_to = stop.end() if stop else len(html)
+            at = stop.end() if stop else len(html)
             if name not in ("svg", "math"):
                 text.append(" ")
             continue
@@ -123,14 +127,14 @@ def blocks(html: str | None) -> list[tuple[str, str, int]]:
                         del stack[i:]
                         break
             else:
-                marks = _marks(m[3]) if m[3].strip() else ""
+                marks = _marks(said) if said.strip() else ""
                 stack.append((name, f"{name}.{marks}" if marks else name))
             path = "/".join([x for _, x in stack])
         elif name in BLOCKS:
             close()
             tag = "" if ends else name
-            if m[3].strip() and not ends and name in ("p", "li", "td", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre"):
-                marks = _marks(m[3])
+            if said.strip() and not ends and name in ("p", "li", "td", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre"):
+                marks = _marks(said)
                 tag = f"{name}.{marks}" if marks else name
     if at < len(html):
         text.append(_UNFINISHED.sub("", html[at:]))
