@@ -12,12 +12,13 @@ empty and has no spans; repeated rows and copies each get the blob's findings; t
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .util import materialise, scratch_path
 
-RULE_VERSION = "2026-11"
 _WORD = "|".join("".join(f"[{c.upper()}{c}]" for c in w) for w in ("password", "passwd", "secret", "token"))
 _KEY = "".join(f"[{c.upper()}{c}]" for c in "api") + "_?" + "".join(f"[{c.upper()}{c}]" for c in "key")
 _BREAK = r"(?:\s|\\[nr])"
@@ -37,12 +38,16 @@ RULES = [
 ]
 #: What redact() hides: a private key whole, where RULES (and the SQL) name its first line.
 HIDDEN = [(kind, _PRIVATE if kind == "private_key" else pattern, group, least) for kind, pattern, group, least in RULES]
-HIDDEN_VERSION = f"{RULE_VERSION}-whole-keys"
 BASE = ("assign", "access", "hex")
 FINDINGS = "array<struct<start:int,kind_order:int,kind:string,end:int>>"
 LEDGER = f"blob binary, rule_version string, findings {FINDINGS}"
 
 
+def rule_version(rules: list[tuple]) -> str:
+    """A name of these rules; other rules have another, so findings of old ones are never taken for theirs."""
+    return hashlib.sha256(repr(rules).encode()).hexdigest()[:16]
+
+
 def _matches(rules: list[tuple], order: int, gaps: Column, whole: Column, counted: Column) -> Column:
     """A struct for every match of a rule: number, length of the text before it since the last one, length, whether it counts."""
     kind, _, _, least = rules[order]
@@ -86,9 +91,12 @@ def _ledger(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame([], LEDGER)
 
 
-def update(docs: DataFrame, ledger: str, version: str = RULE_VERSION, key: str = "doc_id", text: str = "text", rules: list[tuple] = RULES) -> DataFrame:
-    """Scan what the ledger lacks, append it, and return the ledger's rows of this version."""
-    spark = docs.sparkSession
+def update(docs: DataFrame, ledger: str, key: str = "doc_id", text: str = "text", rules: list[tuple] = RULES) -> DataFrame:
+    """Scan what the ledger lacks, append it, and return (blob, findings) of the blobs that have any by these rules.
+
+    Another writer, or a write done twice, may leave a blob's row twice; it is returned once.
+    """
+    spark, version = docs.sparkSession, rule_version(rules)
     known = _ledger(spark, ledger).where(F.col("rule_version") == version).select("blob")
     texts = docs.select(docs[key].alias("doc_id"), F.coalesce(docs[text], F.lit("")).alias("text")).withColumn("blob", F.unhex(F.sha2("text", 256)))
     # The smallest key stands for all copies of a blob, so no group of copies ever meets in one task.
@@ -98,13 +106,14 @@ def update(docs: DataFrame, ledger: str, version: str = RULE_VERSION, key: str =
     new, _ = materialise(found, "findings")
     blobs = unseen.select(F.col("its").alias("blob"))
     blobs.join(new, "blob", "left").select("blob", F.lit(version).alias("rule_version"), F.coalesce("findings", F.array().cast(FINDINGS)).alias("findings")).write.mode("append").parquet(ledger)
-    return spark.read.schema(LEDGER).parquet(ledger).where(F.col("rule_version") == version)
+    now = spark.read.schema(LEDGER).parquet(ledger).where((F.col("rule_version") == version) & (F.size("findings") > 0))
+    return now.dropDuplicates(["blob"]).select("blob", "findings")
 
 
 def find(docs: DataFrame, ledger: str | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, findings) of every row, through the ledger (a new one by default)."""
     rows = update(docs, ledger or scratch_path(docs.sparkSession, "ledger"), key=key, text=text)
-    return address(docs, key, text).join(rows.where(F.size("findings") > 0).select("blob", "findings"), "blob", "left").select("doc_id", F.coalesce("findings", F.array().cast(FINDINGS)).alias("findings"))
+    return address(docs, key, text).join(rows, "blob", "left").select("doc_id", F.coalesce("findings", F.array().cast(FINDINGS)).alias("findings"))
 
 
 def listed(findings: Column) -> Column:
@@ -118,19 +127,21 @@ def redact(docs: DataFrame, ledger: str | None = None, mark: str = "[SECRET]") -
     Overlapping spans become one mark.
     """
     spark = docs.sparkSession
-    rows = update(docs, ledger or scratch_path(spark, "ledger"), HIDDEN_VERSION, rules=HIDDEN).where(F.size("findings") > 0).select(F.col("blob").alias("its"), F.col("findings").alias("spans_found"))
-    d = docs.withColumn("blob_found", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))).join(rows, F.col("blob_found") == F.col("its"), "left")
+    rows = update(docs, ledger or scratch_path(spark, "ledger"), rules=HIDDEN)
+    # The row goes as one struct, so none of its names can clash.
+    own = {c: F.col(f"row.`{c}`") for c in docs.columns}
+    d = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row")).withColumn("blob", F.unhex(F.sha2(F.coalesce(own["text"], F.lit("")), 256))).join(rows, "blob", "left")
     done = F.aggregate(
-        "spans_found",
+        "findings",
         F.struct(F.lit("").alias("out"), F.lit(0).alias("at")),
         lambda a, x: F.struct(
-            F.when(x["start"] >= a["at"], F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, x["start"] - a["at"]), F.lit(mark))).otherwise(a["out"]).alias("out"),
+            F.when(x["start"] >= a["at"], F.concat(a["out"], F.substring(own["text"], a["at"] + 1, x["start"] - a["at"]), F.lit(mark))).otherwise(a["out"]).alias("out"),
             F.greatest(a["at"], x["end"]).alias("at"),
         ),
-        lambda a: F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, F.length("text"))),
+        lambda a: F.concat(a["out"], F.substring(own["text"], a["at"] + 1, F.length(own["text"]))),
     )
-    new = {"text": F.when(F.col("spans_found").isNull(), F.col("text")).otherwise(done)}
-    out = d.withColumns(new)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("spans_found").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(docs.columns)
+    clean = F.col("findings").isNull()
+    new = own | {"text": F.when(clean, own["text"]).otherwise(F.col("hidden"))}
+    if "n_chars" in own:
+        new["n_chars"] = F.when(clean, own["n_chars"]).otherwise(F.length("hidden").cast(docs.schema["n_chars"].dataType))
+    return d.withColumn("hidden", F.when(~clean, done)).select(*[c.alias(name) for name, c in new.items()])
