@@ -10,12 +10,15 @@ continuation records.
 origin, orders them by segment number, verifies the total length, decodes the chunked framing and
 checks the digest.  Anything that doesn't fit is named in ``problem``; no record is dropped.
 
-A null html is an empty payload; a null url has no target header; repeated rows give records of their own.
+A null html is an empty payload; a null url has no target header; repeated rows give records of their own.  A very long text is
+cut like any other.  An empty table gives no records; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -31,7 +34,9 @@ SEGMENT_CHARS = 16384
 #: Pieces that a text is cut into at most, so that cutting stays linear in its length.
 MOST_PIECES = 64
 END = "\r\n"
-PARSED = "record_id string, type string, origin string, segment int, total_length long, page_id long, target_uri string, refers_to long, digest string, payload_bytes long, block binary"
+#: Records of an archive file; a record's block has SEGMENT_CHARS characters at most, or a MOST_PIECES-th of a very long text.
+FILE_RECORDS = 10_000
+PARSED = "record_id string, type string, origin string, segment int, total_length long, page_id long, target_uri string, refers_to long, digest string, payload_bytes long, block binary, problem string"
 
 
 def _let(c: Column, f) -> Column:
@@ -95,35 +100,52 @@ def write(pages: DataFrame, path: str | None = None, date: str = "2026-01-01T00:
         F.lit(END),
         F.col("part"),
     )
-    p.select(record.alias("record")).write.option("lineSep", END * 2).option("compression", "gzip").text(path)
+    p.select(record.alias("record")).write.option("lineSep", END * 2).option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
     return path
 
 
-def records(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers in lower case, block) of every record of an archive file's plain bytes."""
+def records(raw: bytes) -> Iterator[tuple[dict[str, str], bytes, str | None]]:
+    """(headers in lower case, block, problem) of every record of an archive file's plain bytes.
+
+    Bytes that aren't a record come as one without headers, up to where the next record begins.
+    """
     at = 0
     while at < len(raw):
         if raw.startswith(b"\r\n", at):
             at += 2
             continue
         stop = raw.find(b"\r\n\r\n", at)
-        if stop < 0 or not raw.startswith(b"WARC/", at):
-            raise ValueError(f"no WARC record at byte {at}")
-        lines = raw[at:stop].decode("utf-8", "replace").split("\r\n")
-        head = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
-        start, size = stop + 4, int(head["content-length"])
-        yield head, raw[start : start + size]
-        at = start + size
-
-
-def gunzip(raw: bytes) -> bytes:
-    """Plain bytes of a gzip file with any number of members; other bytes come back unchanged."""
-    out = []
-    while raw.startswith(b"\x1f\x8b"):
+        head, size = {}, ""
+        if stop >= 0 and raw.startswith(b"WARC/", at):
+            lines = raw[at:stop].decode("utf-8", "replace").split("\r\n")
+            head = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
+            size = head.get("content-length", "")
+        if not re.fullmatch(r"[0-9]{1,18}", size):
+            end = raw.find(b"\r\nWARC/", at + 1)
+            end = len(raw) if end < 0 else end
+            yield head, raw[at:end], f"no WARC record at byte {at}"
+            at = end
+            continue
+        block = raw[stop + 4 : stop + 4 + int(size)]
+        yield head, block, None if len(block) == int(size) else f"the record ends early, {len(block)} of {size} bytes"
+        at = stop + 4 + int(size)
+
+
+def gunzip(raw: bytes) -> tuple[bytes, str | None]:
+    """(plain bytes, problem) of a gzip file with any number of members; other bytes come back unchanged."""
+    out, at, view = [], 0, memoryview(raw)
+    while view[at : at + 2] == b"\x1f\x8b":
         z = zlib.decompressobj(31)
-        out.append(z.decompress(raw))
-        raw = z.unused_data
-    return b"".join([*out, raw])
+        try:
+            while not z.eof and at < len(raw):
+                piece = view[at : at + (1 << 20)]
+                out.append(z.decompress(piece))
+                at += len(piece) - len(z.unused_data)
+        except zlib.error as e:
+            return b"".join(out), f"the file can't be decompressed: {e}"
+        if not z.eof:
+            return b"".join(out), "the compressed file ends early"
+    return b"".join([*out, view[at:]]), None
 
 
 def dechunk(body: bytes) -> bytes:
@@ -134,6 +156,8 @@ def dechunk(body: bytes) -> bytes:
         if stop < 0:
             raise ValueError("chunked body ends early")
         size = int(body[at:stop].split(b";")[0], 16)
+        if size < 0:
+            raise ValueError("a chunk's size is negative")
         if not size:
             return b"".join(out)
         if len(body) < stop + 4 + size:
@@ -149,17 +173,19 @@ def payload(block: bytes) -> bytes:
 
 
 def parse(spark: SparkSession, path: str) -> DataFrame:
-    """PARSED rows of all archive files in a folder."""
+    """PARSED rows of all archive files in a folder; problem tells what of a file or record can't be read."""
     names = [c.split()[0] for c in PARSED.split(", ")]
-    types = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
+    types = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = lambda x: None if x is None else int(x)
+        number = lambda x: int(x) if re.fullmatch(r"-?[0-9]{1,18}", x or "") else None
         for b in batches:
             for raw in b.column(0):
                 rows, held = [], 0
-                for h, block in records(gunzip(raw.as_py())):
-                    rows.append((h.get("warc-record-id"), h.get("warc-type"), h.get("warc-segment-origin-id"), number(h.get("warc-segment-number")), number(h.get("warc-segment-total-length")), number(h.get("warc-page-id")), h.get("warc-target-uri"), number(h.get("warc-refers-to-page")), (h.get("warc-payload-digest") or "").removeprefix("sha1:") or None, number(h.get("warc-payload-bytes")), block))
+                plain, broken = gunzip(raw.as_py())
+                every = records(plain)
+                for h, block, problem in itertools.chain(every, [({}, b"", broken)] if broken else ()):
+                    rows.append((h.get("warc-record-id"), h.get("warc-type"), h.get("warc-segment-origin-id"), number(h.get("warc-segment-number")), number(h.get("warc-segment-total-length")), number(h.get("warc-page-id")), h.get("warc-target-uri"), number(h.get("warc-refers-to-page")), (h.get("warc-payload-digest") or "").removeprefix("sha1:") or None, number(h.get("warc-payload-bytes")), block, problem))
                     held += len(block)
                     if held > 4 << 20:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
@@ -174,12 +200,13 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     """(page_id, target_uri, record_type, refers_to, payload_bytes, payload_digest, payload, problem) of every record that isn't a continuation."""
     rows = parse(spark, path)
     segmented = rows.where("segment is not null").withColumn("origin", F.coalesce("origin", "record_id"))
-    ahead = [c for c in rows.columns if c not in ("record_id", "origin", "segment", "total_length", "block")]
+    ahead = [c for c in rows.columns if c not in ("record_id", "origin", "segment", "total_length", "block", "problem")]
     # A group is one record's segments, never more.
     joined = segmented.groupBy("origin").agg(
         *[F.max(c).alias(c) for c in ahead if c != "type"],
         F.max(F.when(F.col("segment") == 1, F.col("type"))).alias("type"),
         F.max("total_length").alias("total_length"),
+        F.max("problem").alias("problem"),
         F.sort_array(F.collect_list(F.struct("segment", "block"))).alias("parts"),
     )
     joined = joined.withColumns({
@@ -188,16 +215,18 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         "segmented": F.lit(True),
     })
     single = rows.where("segment is null").withColumns({"gap": F.lit(False), "segmented": F.lit(False)})
-    cols = [*ahead, "total_length", "gap", "segmented", "block"]
+    cols = [*ahead, "total_length", "gap", "segmented", "block", "problem"]
     out = "page_id long, target_uri string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary, problem string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             made = []
             for r in b.to_pylist():
-                body, problem = None, None
+                body, problem = None, r["problem"]
                 size, digest = r["payload_bytes"], r["digest"]
-                if r["gap"] or (r["segmented"] and r["type"] is None):
+                if problem:
+                    pass
+                elif r["gap"] or (r["segmented"] and r["type"] is None):
                     problem = "a segment is missing"
                 elif r["segmented"] and r["total_length"] != len(r["block"]):
                     problem = f"total length {r['total_length']}, found {len(r['block'])}"
