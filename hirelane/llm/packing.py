@@ -85,11 +85,12 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
     return where, offset, np.array(gaps, np.int64)
 
 
-def _shard(capacity: int, level: int, last: bool):
+def _shard(capacity: int, first: int, last: bool):
     def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values(["doc_id", "piece"], kind="stable").reset_index(drop=True)
         where, offset, gaps = sum_of_squares(g["length"].to_numpy(), capacity)
-        g["sequence_id"] = (level + 1 << 58) + (int(key[0]) << 28) + where
+        # first + key numbers the shards of all rounds; the sequences of one differ in the bits above.
+        g["sequence_id"] = (where << 40) + first + int(key[0])
         g["offset"] = offset
         g["final"] = last | (gaps[where] <= CLOSED)
         return g.drop(columns="shard")
@@ -107,17 +108,18 @@ def pack(df: DataFrame, capacity: int = CAPACITY, shard: int = SHARD) -> DataFra
     out = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, final boolean"
     left, _ = materialise(df, "pieces")
     whole = F.col("length") == capacity
-    done: list[DataFrame] = [left.where(whole).select("*", F.monotonically_increasing_id().alias("sequence_id"), F.lit(0).cast("long").alias("offset"))]
-    todo, level = left.where(~whole), 0
+    done: list[DataFrame] = [left.where(whole).select("*", (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))]
+    todo, level, first = left.where(~whole), 0, 0
     n = todo.count()
     while n:
         shards = -(-n // shard)
         last = shards == 1
 
         dealt = todo.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", F.lit(level)), F.lit(shards)))
-        packed, _ = materialise(dealt.groupBy("shard").applyInPandas(_shard(capacity, level, last), out), "packed")
+        packed, _ = materialise(dealt.groupBy("shard").applyInPandas(_shard(capacity, first, last), out), "packed")
         done.append(packed.where("final").drop("final"))
         todo = packed.where("not final").select(df.columns)
+        first += shards
         level, before, n = level + 1, n, 0 if last else todo.count()
         if n > 0.9 * before:  # nothing more to win: lengths that don't complement each other
             done[-1] = packed.drop("final")

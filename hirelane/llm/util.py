@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,16 +12,19 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir of the session.
 
-    Only where the setting is absent (tests on one machine) a temporary folder is made and set.
+    Only where the setting is absent and all run on one machine (tests), a temporary folder is made and set; elsewhere
+    executors wouldn't see it, so that is an error.
     """
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
         jsc = spark.sparkContext._jsc.sc().getCheckpointDir()
         place = jsc.get() if jsc.isDefined() else None
     if not place:
+        master = spark.sparkContext.master
+        if not re.match(r"local(\[|$)", master):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
         place = "file://" + tempfile.mkdtemp(prefix="hirelane-")
         spark.sparkContext.setCheckpointDir(place)
-        spark.conf.set("spark.hirelane.scratch", place)
     return place.rstrip("/")
 
 
