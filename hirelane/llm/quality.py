@@ -5,14 +5,16 @@ positives P, unlabelled web text U and class prior p,
 
     p * E_P[loss(+)] + max(0, E_U[loss(-)] - p * E_P[loss(-)]),
 
-where a step that would make the second part negative is taken back.  The prior is the share of label 1 among all
-labels that may be learned from.  The scale of the score is then set by a two-parameter
-logistic fit on the same labelled rows.
+where a step that would make the second part negative is taken back.  The prior is estimated on the unlabelled texts: the share of
+positives is at most the ratio of U to P above any threshold of a first model's score (best bin estimation, Garg et al.,
+2021), and the threshold with the least upper bound names it.  Slope and shift of the score minimise the unbiased PU risk with
+the logistic loss, so rows labelled 0 take no part anywhere.
 
-The fit reads a bounded sample (``LABELLED`` labelled rows, ``UNLABELLED`` others, chosen by hash); every
+The fit reads a bounded sample (``LABELLED`` rows labelled 1, ``UNLABELLED`` others, chosen by hash; of a repeated id's rows as many as twice these together); every
 text is scored whole.  Labels, language, source and id are no inputs.  Null and empty texts have all statistics
 zero and a score like any other; rows without an id are never learned from; repeated rows are scored each.
-Without labels of both kinds the score is 0.5.
+Without rows labelled 1 or without texts the score is 0.5.  An empty table gives no rows, a very long text one row like any
+other; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -107,15 +109,9 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, labelled: np.ndarray, labels: np.ndarray, prior: float, rounds: int = 500, rate: float = 0.05, decay: float = 1e-2) -> Model:
-    """nnPU risk with the sigmoid loss by Adam over the sample, then the scale of the score."""
-    every = _expand(np.vstack([positive, unlabelled]))
-    mean, scale = every.mean(0), every.std(0) + 1e-6
-    mean[0], scale[0] = 0, 1
-    w = np.zeros(every.shape[1])
-    if not len(positive) or not len(unlabelled) or prior in (0.0, 1.0):
-        return Model(mean, scale, w, 0.0, 0.0)
-    p, u = (np.clip((_expand(x) - mean) / scale, -8, 8) for x in (positive, unlabelled))
+def _minimise(p: np.ndarray, u: np.ndarray, prior: float, rounds: int, rate: float, decay: float) -> np.ndarray:
+    """Weights of least nnPU risk with the sigmoid loss, by Adam."""
+    w = np.zeros(p.shape[1])
     m, v = np.zeros_like(w), np.zeros_like(w)
     for t in range(1, rounds + 1):
         # Sigmoid loss: loss(z, +) = s(-z), loss(z, -) = s(z).
@@ -126,20 +122,46 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, labelled: np.ndarray, labe
         g = g + decay * w
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w = w - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    z = np.clip((_expand(labelled) - mean) / scale, -8, 8) @ w
-    a, b = _scale(z, labels)
-    return Model(mean, scale, w, float(a), float(b))
+    return w
+
+
+def estimate_prior(zp: np.ndarray, zu: np.ndarray, confidence: float = 0.9) -> float:
+    """Share of positives among the unlabelled, from scores of both."""
+    at = np.unique(np.concatenate([zp, zu]))
+    above = lambda z: 1 - np.searchsorted(np.sort(z), at) / len(z)
+    qp, qu = above(zp), above(zu)
+    # So few positives above a threshold that their share says nothing.
+    at_least = qp > 0.05
+    slack = np.sqrt(np.log(4 / (1 - confidence)) / 2) * (len(zu) ** -0.5 + len(zp) ** -0.5)
+    best = np.argmin((qu[at_least] + slack) / qp[at_least])
+    return float(np.clip(qu[at_least][best] / qp[at_least][best], 0.01, 0.99))
+
+
+def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = None, rounds: int = 500, rate: float = 0.05, decay: float = 1e-2) -> Model:
+    """The model of these rows of statistics; without a prior, one is estimated from a first fit that takes it as 0.5."""
+    width = 2 * STATISTICS - 1
+    if not len(positive) or not len(unlabelled):
+        return Model(np.zeros(width), np.ones(width), np.zeros(width), 0.0, 0.0)
+    every = _expand(np.vstack([positive, unlabelled]))
+    mean, scale = every.mean(0), every.std(0) + 1e-6
+    mean[0], scale[0] = 0, 1
+    p, u = (np.clip((_expand(x) - mean) / scale, -8, 8) for x in (positive, unlabelled))
+    if prior is None:
+        first = _minimise(p, u, 0.5, rounds, rate, decay)
+        prior = estimate_prior(p @ first, u @ first)
+    w = _minimise(p, u, prior, rounds, rate, decay)
+    return Model(mean, scale, w, *_scale(p @ w, u @ w, prior))
 
 
-def _scale(z: np.ndarray, y: np.ndarray, ridge: float = 1e-5) -> tuple[float, float]:
-    """Slope and shift of the logistic fit of y on z, by Newton steps with a slight ridge."""
-    unit = z.std() + 1e-9
-    x = np.column_stack([z / unit, np.ones(len(z))])
+def _scale(zp: np.ndarray, zu: np.ndarray, prior: float, ridge: float = 1e-5) -> tuple[float, float]:
+    """Slope and shift of least PU risk with the logistic loss, E_U[log(1 + e^f)] - prior * E_P[f], by Newton steps with a slight ridge."""
+    unit = zu.std() + 1e-9
+    x, aim = np.column_stack([zu / unit, np.ones(len(zu))]), prior * np.array([zp.mean() / unit, 1.0])
     w = np.array([1.0, 0.0])
     for _ in range(60):
-        p = _sigmoid(x @ w)
-        g = x.T @ (p - y) / len(y) + ridge * w
-        h = (x * (p * (1 - p))[:, None]).T @ x / len(y) + ridge * np.eye(2)
+        s = _sigmoid(x @ w)
+        g = x.T @ s / len(x) - aim + ridge * w
+        h = (x * (s * (1 - s))[:, None]).T @ x / len(x) + ridge * np.eye(2)
         step = np.linalg.solve(h, g)
         w = w - step / max(1.0, np.abs(step).max() / 2)
     return float(w[0] / unit), float(w[1])
@@ -162,21 +184,18 @@ def _features(df: DataFrame, carry: list[str], text: str) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality") -> Model:
-    """Fit on a bounded sample of the labelled rows outside the held-out third and of the documents."""
+    """Fit on a bounded sample of the rows labelled 1 outside the held-out third and of the documents."""
     spark = docs.sparkSession
-    known = labels.select(F.col(key).alias("k"), F.col(label).cast("int").alias("y")).where(F.col("k").isNotNull() & F.col("y").isNotNull() & ~held_out(F.col("k")))
-    known = known.groupBy("k").agg(F.max("y").alias("y"))
-    counted = known.agg(F.count("*").alias("n"), F.avg((F.col("y") == 1).cast("double")).alias("prior")).first()
-    n, total = counted["n"], docs.count()
-    prior = 0.5 if counted["prior"] is None else counted["prior"]
-    chosen = known.where(F.pmod(F.xxhash64("k", F.lit(5)), F.lit(max(1, n))) < LABELLED).toPandas()
-    small = spark.createDataFrame([(int(a), int(b)) for a, b in zip(chosen["k"], chosen["y"], strict=True)], "k long, y int")
+    known = labels.select(F.col(key).alias("k")).where((F.col(label).cast("int") == 1) & F.col("k").isNotNull() & ~held_out(F.col("k"))).distinct()
+    n, total = known.count(), docs.count()
+    chosen = known.where(F.pmod(F.xxhash64("k", F.lit(5)), F.lit(max(1, n))) < LABELLED).limit(2 * LABELLED).toPandas()
+    small = spark.createDataFrame([(int(a), 1) for a in chosen["k"]], "k long, y int")
     rows = docs.select(F.col(key).alias("doc"), F.col(text).alias("text")).join(F.broadcast(small), F.col("doc") == F.col("k"), "left")
     rows = rows.withColumn("web", F.coalesce(F.pmod(F.xxhash64("doc", F.lit(6)), F.lit(max(1, total))) < UNLABELLED, F.lit(False))).where("y is not null or web")
+    rows = rows.limit(2 * (LABELLED + UNLABELLED))
     got = _features(rows.withColumn("y", F.coalesce("y", F.lit(-1))), ["y", "web"], "text").toPandas()
     x = np.array(got["x"].tolist(), np.float64).reshape(-1, STATISTICS)
-    y, web = got["y"].to_numpy(), got["web"].to_numpy().astype(bool)
-    return fit(x[y == 1], x[web], x[y >= 0], (y[y >= 0] == 1).astype(float), prior)
+    return fit(x[got["y"].to_numpy() == 1], x[got["web"].to_numpy().astype(bool)])
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -130,15 +130,25 @@ def test_rows_of_one_id_are_judged_by_their_texts(spark):
         assert sorted(said, key=str) == sorted([(1, near), (5, own), (5, ""), (8, other), (None, own)], key=str)
 
 
-def test_the_prior_counts_all_labels(spark, monkeypatch):
-    monkeypatch.setattr(quality, "LABELLED", 20)
-    docs = spark.createDataFrame([(i, f"word{i % 7} and {i} more words here") for i in range(400)], "doc_id long, text string")
-    labels = spark.createDataFrame([(i, int(i % 10 == 0)) for i in range(600)] + [(None, 1), (1, None)], "doc_id long, quality int")
-    seen, fit = [], quality.fit
-    monkeypatch.setattr(quality, "fit", lambda *a, **k: seen.append(a[4]) or fit(*a, **k))
-    quality.train(docs, labels)
-    may = [r.quality for r in labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~quality.held_out(F.col("doc_id"))).collect()]
-    assert seen == [pytest.approx(sum(may) / len(may))]
+@pytest.mark.parametrize("share", [0.2, 0.5, 0.85])
+def test_the_prior_is_estimated_on_unlabelled_rows(share):
+    """Against the true share, which no label of the unlabelled rows tells."""
+    rng = np.random.default_rng(8)
+    kinds = rng.random(4000) < share
+    make = lambda up, n: rng.normal(1.0 if up else -1.0, 0.7, (n, quality.STATISTICS))
+    u = np.where(kinds[:, None], make(True, 4000), make(False, 4000))
+    assert abs(quality.estimate_prior(make(True, 3000).sum(1), u.sum(1)) - share) < 0.05
+    model = quality.fit(make(True, 3000), u)
+    assert ((model.score(u) >= 0.5) == kinds).mean() > 0.9
+    assert abs(model.score(u).mean() - share) < 0.07
+
+
+def test_rows_labelled_zero_are_never_read(spark):
+    docs = spark.createDataFrame([(i, f"word{i % 7} and {i} more words here" if i % 3 else f"{i}|{i}|{i}") for i in range(300)], "doc_id long, text string")
+    labels = [(i, int(i % 3 > 0)) for i in range(600)] + [(None, 1), (1, None)]
+    table = lambda rows: spark.createDataFrame(rows, "doc_id long, quality int")
+    one, other = quality.train(docs, table(labels)), quality.train(docs, table([x for x in labels if x[1] != 0]))
+    assert (one.weight == other.weight).all() and (one.slope, one.shift) == (other.slope, other.shift)
 
 
 def test_private_keys_go_whole(spark):
