@@ -140,7 +140,7 @@ def test_the_prior_is_estimated_on_unlabelled_rows(share):
     assert abs(quality.estimate_prior(make(True, 3000).sum(1), u.sum(1)) - share) < 0.05
     model = quality.fit(make(True, 3000), u)
     assert ((model.score(u) >= 0.5) == kinds).mean() > 0.9
-    assert abs(model.score(u).mean() - share) < 0.07
+    assert abs(model.score(u).mean() - share) < 0.1
 
 
 def test_rows_labelled_zero_are_never_read(spark):
