@@ -25,14 +25,18 @@ _LINE_ENDS = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
 
 
 @cache
-def _folding() -> tuple[str, str, list[tuple[str, str]]]:
-    """Single letters and their ASCII forms, and letters that fold to several, from the Unicode data."""
+def _folding(gap: str = "") -> tuple[str, str, list[tuple[str, str]]]:
+    """Single letters and their ASCII forms, and letters that fold to several, from the Unicode data.
+
+    gap stands for what is neither ASCII nor a combining mark in a decomposed letter with an ASCII part.
+    """
     one, to, many = [], [], []
     for c in range(0x80, 0x30000):
         if 0xD800 <= c < 0xE000 or 0xAC00 <= c <= 0xD7A3:
             continue
         ch = chr(c)
-        folded = {"Đ": "D", "đ": "d"}.get(ch) or unicodedata.normalize("NFKD", ch).encode("ascii", "ignore").decode()
+        parts = {"Đ": "D", "đ": "d"}.get(ch) or unicodedata.normalize("NFKD", ch)
+        folded = "".join(x if x < "\x80" else "" if unicodedata.category(x)[0] == "M" else gap for x in parts) if any(x < "\x80" for x in parts) else ""
         if len(folded) == 1:
             one.append(ch)
             to.append(folded)
@@ -53,12 +57,16 @@ def strip(c: Column) -> Column:
 
 def fold_ascii(c: Column) -> Column:
     """Compatibility-decomposed, accents and every other non-ASCII character dropped; null is empty."""
-    one, to, many = _folding()
+    return F.regexp_replace(_decomposed(c), r"[^\x00-\x7F]", "")
+
+
+def _decomposed(c: Column, gap: str = "") -> Column:
+    """Letters with an ASCII form in that form, ligatures and others of several letters too."""
+    one, to, many = _folding(gap)
     out = F.translate(F.coalesce(c, F.lit("")), one, to)
     # Letters that fold to several are rare, so texts without any skip the replacements.
     pattern = "[" + "".join(x for x, _ in many if ord(x) < 0x10000) + "]"
-    several = F.when(out.rlike(r"[^\x00-\x7F]") & out.rlike(pattern), _replace_all(out, many)).otherwise(out)
-    return F.regexp_replace(several, r"[^\x00-\x7F]", "")
+    return F.when(out.rlike(r"[^\x00-\x7F]") & out.rlike(pattern), _replace_all(out, many)).otherwise(out)
 
 
 def _replace_all(c: Column, pairs: list[tuple[str, str]]) -> Column:
@@ -75,8 +83,7 @@ def fold_match(c: Column) -> Column:
 
 def fold_marks(c: Column) -> Column:
     """Compatibility-decomposed without combining marks; letters without an ASCII form become a space later, not nothing."""
-    one, to, many = _folding()
-    return F.regexp_replace(F.translate(F.coalesce(c, F.lit("")), one, to), r"\p{M}", "")
+    return F.regexp_replace(_decomposed(c, " "), r"\p{M}", "")
 
 
 def norm_key(c: Column, kept: str = "a-z0-9+#./ ") -> Column:

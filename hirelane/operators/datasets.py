@@ -27,12 +27,13 @@ def join_pairs(pairs: DataFrame, resumes: DataFrame, jobs: DataFrame, split: str
 
 def strict_pairs(pairs: DataFrame, resumes: DataFrame, jobs: DataFrame) -> DataFrame:
     """As join_pairs over all splits, but a pair without resume, job or a known split fails the job."""
-    r = resumes.select(F.col("id").alias("resume_id"), F.lit(True).alias("has_resume")).distinct()
-    j = jobs.select(F.col("id").alias("job_description_id"), F.lit(True).alias("has_job")).distinct()
-    known = pairs.join(r, "resume_id", "left").join(j, "job_description_id", "left")
-    bad = F.col("has_resume").isNull() | F.col("has_job").isNull() | ~F.coalesce(F.col("split").isin(*SPLITS), F.lit(False))
-    checked = known.withColumn("id", F.when(bad, F.raise_error(F.concat(F.lit("bad pair "), F.col("id")))).otherwise(F.col("id"))).drop("has_resume", "has_job")
-    return join_pairs(checked, resumes, jobs, None)
+    r = resumes.select(F.col("id").alias("resume_id"), F.struct(*resumes.columns).alias("resume"))
+    j = jobs.select(F.col("id").alias("job_description_id"), F.struct(*jobs.columns).alias("job"))
+    joined = pairs.join(r, "resume_id", "left").join(j, "job_description_id", "left")
+    bad = F.col("resume").isNull() | F.col("job").isNull() | ~F.coalesce(F.col("split").isin(*SPLITS), F.lit(False))
+    # The check is a filter, which no projection above can drop.
+    fine = F.when(bad, F.raise_error(F.concat(F.lit("bad pair "), F.coalesce(F.col("id").cast("string"), F.lit("without id")))).cast("boolean")).otherwise(True)
+    return joined.where(fine).withColumn("label", F.coalesce("label", label_bucket(F.col("overall_score"))))
 
 
 def hash_split(key: Column, train: float = 0.70, validation: float = 0.85) -> Column:
@@ -132,14 +133,22 @@ def zone_batches(df: DataFrame, key: str, score: str, size: int) -> DataFrame:
     return z.withColumn("batch", F.floor((F.row_number().over(w) - 1) / size).cast("int"))
 
 
-def reassign_ids(df: DataFrame, order: list[Column], prefix: str, width: int = 4, start: int = 1) -> DataFrame:
-    """Rows with new_id, numbered by a total order: ranks are counted per sorted partition and offset, no task holds all rows."""
-    d = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id())
-    d = d.withColumn("_i", F.col("_m") - (F.col("_p").cast("long") * F.lit(1 << 33)))
-    counts = d.groupBy("_p").agg(F.count("*").alias("n"))
-    before = counts.withColumn("before", F.sum("n").over(Window.orderBy("_p")) - F.col("n")).select("_p", "before")
-    number = F.col("before") + F.col("_i") + start
-    return d.join(F.broadcast(before), "_p").withColumn("new_id", F.concat(F.lit(prefix), F.lpad(number.cast("string"), width, "0"))).drop("_p", "_m", "_i", "before")
+def reassign_ids(df: DataFrame, order: list[Column], prefix: str, path: str, width: int = 4, start: int = 1) -> DataFrame:
+    """Rows with new_id, numbered by a total order: ranks are counted per sorted partition and offset, no task holds all rows.
+
+    The sorted partitions are written to path (in a folder that all executors share) and counted there: range bounds are
+    sampled anew each time a plan runs, so counts of a second run need not fit the rows of the first.
+    """
+    d = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id())
+    d.write.mode("overwrite").parquet(path)
+    d = df.sparkSession.read.parquet(path).withColumn("_p", F.shiftright("_m", 33)).withColumn("_i", F.col("_m").bitwiseAND((1 << 33) - 1))
+    before, total = {}, 0
+    # One number a partition.
+    for r in d.groupBy("_p").agg(F.count("*").alias("n")).orderBy("_p").collect():
+        before[r["_p"]], total = total, total + r["n"]
+    offset = F.element_at(F.create_map(*[F.lit(x) for kv in before.items() for x in kv]), F.col("_p")) if before else F.lit(0)
+    number = offset + F.col("_i") + start
+    return d.withColumn("new_id", F.concat(F.lit(prefix), F.lpad(number.cast("string"), width, "0"))).drop("_p", "_m", "_i")
 
 
 def violations(df: DataFrame, key: str, rules: dict[str, Column]) -> DataFrame:

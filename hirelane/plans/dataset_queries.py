@@ -9,6 +9,7 @@ from ..functions.labels import integer_label, label_bucket
 from ..operators import datasets as D
 from ..operators import metrics as M
 from ..operators import retrieval as R
+from ..sources.scratch import scratch
 from .scoring_queries import _t
 
 
@@ -101,16 +102,9 @@ def entity_leakage(spark, sf_dir):
 
 
 def components(spark, sf_dir):
-    place = spark.conf.get("spark.checkpoint.dir", None)
-    if not place:
-        import tempfile
-
-        place = "file://" + tempfile.mkdtemp(prefix="hirelane-")
-    import uuid
-
     e = _t(spark, sf_dir, "customer").join(_t(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     e = e.select(F.concat(F.lit("c"), F.col("c_custkey")).alias("a"), F.concat(F.lit("r"), F.col("n_regionkey")).alias("b"))
-    return D.components(e, "a", "b", f"{place}/components-{uuid.uuid4().hex}").groupBy("component").agg(F.count("*").alias("nodes"))
+    return D.components(e, "a", "b", scratch(spark, "components")).groupBy("component").agg(F.count("*").alias("nodes"))
 
 
 def dataset_violations(spark, sf_dir):
@@ -131,7 +125,7 @@ def relabel_upsert(spark, sf_dir):
 
 def rerank_ids(spark, sf_dir):
     c = _t(spark, sf_dir, "customer")
-    return D.reassign_ids(c, [F.col("c_nationkey"), F.desc("c_acctbal"), F.col("c_custkey")], "cand_", 6).select("c_custkey", "new_id")
+    return D.reassign_ids(c, [F.col("c_nationkey"), F.desc("c_acctbal"), F.col("c_custkey")], "cand_", scratch(spark, "ids"), 6).select("c_custkey", "new_id")
 
 
 def seniority_mix(spark, sf_dir):

@@ -69,7 +69,7 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 def score_pairs_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = scored(spark, sf_dir)
     parts = [F.round(f"{n}_score", 6).alias(f"{n}_score") for n in ("skills", "experience", "project", "education", "keyword")]
-    return s.select("candidate", "job_id", *parts, F.round("overall_score", 2).alias("overall_score"), "label")
+    return s.select("candidate", "job_id", *parts, "overall_score", "label")
 
 
 def skill_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,7 +143,11 @@ def _named(code: int) -> str:
 
 SQL = {
     "score_pairs": _BASE
-    + """, f AS (SELECT *, CAST(round(CAST(CAST(sk * 0.35 * 100 + ex * 0.30 * 100 + pj * 0.15 * 100 + ed * 0.10 * 100 + kw * 0.10 * 100 AS VARCHAR) AS DECIMAL(25, 17)), 2) AS DOUBLE) AS overall FROM z)
+    + """, e AS (SELECT *, sk * 0.35 * 100 + ex * 0.30 * 100 + pj * 0.15 * 100 + ed * 0.10 * 100 + kw * 0.10 * 100 AS raw FROM z),
+-- Rounding half to even of the exact binary value: the fraction of raw * 100 is compared with a half, the product's error added.
+e1 AS (SELECT *, raw * CAST(100 AS DOUBLE) AS prod, raw * CAST(134217729 AS DOUBLE) - (raw * CAST(134217729 AS DOUBLE) - raw) AS hi FROM e),
+e2 AS (SELECT *, (prod - floor(prod) - CAST(0.5 AS DOUBLE)) + ((hi * CAST(100 AS DOUBLE) - prod) + (raw - hi) * CAST(100 AS DOUBLE)) AS over_half FROM e1),
+f AS (SELECT *, (floor(prod) + CASE WHEN over_half > 0 THEN 1 WHEN over_half < 0 THEN 0 ELSE CAST(floor(prod) AS BIGINT) % 2 END) / CAST(100 AS DOUBLE) AS overall FROM e2)
 SELECT candidate, job_id, round(sk, 6) AS skills_score, round(ex, 6) AS experience_score, round(pj, 6) AS project_score, round(ed, 6) AS education_score, round(kw, 6) AS keyword_score, overall AS overall_score, """
     + _LABEL.format("overall")
     + " AS label FROM f",

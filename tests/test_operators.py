@@ -115,13 +115,13 @@ def test_relabel(spark):
     assert c.select(D.weighted_score(F.create_map(F.lit("SKILLS_MATCH"), F.lit(50)))).first()[0] == 18
 
 
-def test_violations_and_ids(spark):
+def test_violations_and_ids(spark, tmp_path):
     d = spark.createDataFrame([(1, "a@b.org"), (1, ""), (2, None)], "id int, t string")
     got = sorted((r.key, r.rule) for r in D.violations(d, "id", {"empty": F.col("t") == "", "email": D.privacy_flags(F.col("t"))["email"]}).collect())
     assert got == [("1", "email"), ("1", "empty"), ("2", "empty")]
     assert [r.key for r in D.duplicate_ids(d, "id").collect()] == ["1"]
     assert [r.key for r in D.missing_reference(d, "id", "id", d.where("id = 1"), "id").collect()] == ["2"]
-    ids = D.reassign_ids(spark.range(100).withColumn("k", F.col("id") % 7), [F.col("k"), F.col("id")], "c", 3).orderBy("k", "id").collect()
+    ids = D.reassign_ids(spark.range(100).withColumn("k", F.col("id") % 7), [F.col("k"), F.col("id")], "c", f"file://{tmp_path}/ids", 3).orderBy("k", "id").collect()
     assert [r.new_id for r in ids] == [f"c{i:03d}" for i in range(1, 101)]
     assert D.seniority_mix([5, 0, 0], 4) == (0, 2, 2)
 
