@@ -145,6 +145,19 @@ _ALIASES = ", ".join(
 )
 _NAMES = ", ".join(f"({o}, '{name}')" for o, name, *_ in entries())
 SQL = {
+    "viterbi_decode": """WITH RECURSIVE p AS (SELECT role AS prev, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS cur FROM conversations), l AS (SELECT * FROM (VALUES ('assistant', 1), ('system', 2), ('user', 3)) v(x, k)),
+g AS (SELECT a.k AS i, b.k AS j, count(p.prev) AS n FROM l a CROSS JOIN l b LEFT JOIN p ON p.prev = a.x AND p.cur = b.x GROUP BY 1, 2),
+h AS (SELECT i, j, ln((n + 1.0) / sum(n + 1.0) OVER (PARTITION BY i)) AS w FROM g), t AS (SELECT list(w ORDER BY i, j) AS t FROM h),
+c AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn, length(coalesce(text, '')) AS n FROM conversations),
+q AS (SELECT conv_id, rn, [(n % 7 + 1) / 7.0::DOUBLE, (n % 8 + 1) / 8.0::DOUBLE, (n % 9 + 1) / 9.0::DOUBLE] AS q FROM c),
+e AS (SELECT conv_id, rn, [ln(greatest(x / (q[1] + q[2] + q[3]), 1e-12)) FOR x IN q] AS e FROM q),
+d AS (
+  SELECT conv_id, rn, e AS d, ['0', '1', '2'] AS path FROM e WHERE rn = 1
+  UNION ALL
+  SELECT f.conv_id, e.rn, [list_max([f.d[i] + t.t[3 * i - 3 + j] FOR i IN [1, 2, 3]]) + e.e[j] FOR j IN [1, 2, 3]],
+    [f.path[list_position([f.d[i] + t.t[3 * i - 3 + j] FOR i IN [1, 2, 3]], list_max([f.d[i] + t.t[3 * i - 3 + j] FOR i IN [1, 2, 3]]))] || CAST(j - 1 AS VARCHAR) FOR j IN [1, 2, 3]]
+  FROM d f JOIN e ON e.conv_id = f.conv_id AND e.rn = f.rn + 1 CROSS JOIN t)
+SELECT conv_id, path[list_position(d, list_max(d))] AS path FROM d QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY rn DESC) = 1""",
     "pii_scan": r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents) SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(t, '[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}'))), ',') AS emails,
 array_to_string(list_sort(list_distinct([x FOR x IN [regexp_replace(p, '[^+0-9]', '', 'g') FOR p IN regexp_extract_all(t, '\+?\d[\d\s().-]{6,}\d')] IF length(replace(x, '+', '')) BETWEEN 10 AND 15])), ',') AS phones FROM d""",
     "link_extract": r"""WITH p AS (SELECT page_id, list_sort(list_distinct([regexp_replace(x, '[.,;:]+$', '') FOR x IN regexp_extract_all(coalesce(html, ''), '(?i)https?://[^\s"''<>)]+')])) AS l FROM pages) SELECT page_id, CAST(len(l) AS INT) AS n_links, array_to_string(l, ' ') AS links FROM p""",

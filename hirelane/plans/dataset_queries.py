@@ -129,7 +129,7 @@ def rerank_ids(spark, sf_dir):
 
 
 def seniority_mix(spark, sf_dir):
-    """One row: 5 new jobs dealt over six levels with the suppliers' counts per region as the present ones."""
+    """5 new jobs dealt over six levels, whose present counts are those of the suppliers by number modulo 6."""
     n = _t(spark, sf_dir, "supplier").groupBy((F.col("s_suppkey") % 6).alias("level")).agg(F.count("*").alias("n")).orderBy("level").limit(6).collect()
     mix = D.seniority_mix([r.n for r in n], 5)
     return spark.createDataFrame([(i, int(x)) for i, x in enumerate(mix)], "level int, added int")
@@ -164,6 +164,16 @@ t AS (SELECT j.label, e.vec_id, {_COS} AS sim, row_number() OVER (PARTITION BY j
 _HASH = "(CASE WHEN CAST('0x' || substr(sha256(CAST({0} AS VARCHAR)), 1, 8) AS BIGINT) / 4294967295.0 < 0.70 THEN 'train' WHEN CAST('0x' || substr(sha256(CAST({0} AS VARCHAR)), 1, 8) AS BIGINT) / 4294967295.0 < 0.85 THEN 'validation' ELSE 'test' END)"
 
 SQL = {
+    # Pool adjacent violators as its closed form: the greatest over starts of the least mean over ends.
+    "isotonic": _P
+    + """, t AS (SELECT pred, avg(tru) AS y, row_number() OVER (ORDER BY pred) AS i FROM s GROUP BY pred), c AS (SELECT *, sum(y) OVER (ORDER BY i) AS upto FROM t),
+m AS (SELECT a.i AS lo, b.i AS hi, (b.upto - a.upto + a.y) / (b.i - a.i + 1) AS mean FROM c a JOIN c b ON a.i <= b.i),
+g AS (SELECT t.i, m.lo, min(m.mean) AS least FROM t JOIN m ON m.lo <= t.i AND t.i <= m.hi GROUP BY 1, 2), f AS (SELECT t.pred, max(least) AS fitted FROM g JOIN t USING (i) GROUP BY 1)
+SELECT id, round(fitted, 6) AS calibrated FROM s JOIN f USING (pred)""",
+    "seniority_mix": """WITH n AS (SELECT list(n ORDER BY level) AS n FROM (SELECT s_suppkey % 6 AS level, count(*) AS n FROM supplier GROUP BY 1)), r AS (SELECT range AS x FROM range(6)),
+p AS (SELECT [a.x, b.x, c.x, d.x, e.x, f.x] AS p FROM r a, r b, r c, r d, r e, r f WHERE a.x + b.x + c.x + d.x + e.x + f.x = 5),
+best AS (SELECT p FROM p, n ORDER BY list_reverse_sort([n.n[i] + p[i] FOR i IN range(1, 7)]), p LIMIT 1)
+SELECT CAST(i - 1 AS INT) AS level, CAST(p[i] AS INT) AS added FROM best, range(1, 7) x(i)""",
     "eval_metrics": _P + f"SELECT count(*) AS n, round(avg(abs(pred - tru)), 4) AS mae, round(sqrt(avg((pred - tru) * (pred - tru))), 4) AS rmse, round(avg(CASE WHEN {_B.format('pred')} = {_B.format('tru')} THEN 1.0 ELSE 0.0 END), 4) AS label_accuracy, round(avg(pred), 4) AS mean_pred, round(avg(tru), 4) AS mean_true FROM s",
     "tolerance_metrics": _P + f"SELECT {_B.format('tru')} AS label, count(*) AS n, round(avg(CASE WHEN abs(pred - tru) <= 10 THEN 1.0 ELSE 0.0 END), 4) AS accuracy, round(avg(pred - tru), 4) AS bias, round(stddev_pop(pred - tru), 4) AS error_std FROM s GROUP BY 1",
     "confusion_matrix": _P + f", c AS (SELECT {_I.format('tru')} AS true_label, {_I.format('round(pred)')} AS pred_label, count(*) AS n FROM s GROUP BY 1, 2) SELECT true_label, pred_label, n, round(100 * n / sum(n) OVER (PARTITION BY true_label), 1) AS row_percent FROM c",
