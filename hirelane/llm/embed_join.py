@@ -12,7 +12,8 @@ number of linked vectors of each class and a spanning forest of the links, never
 
 Vectors that are null, empty, zero or hold null or non-finite components, and those without a label, link
 with nothing and are their own component; vectors of different lengths don't link.  Every row is a vector, repeated
-rows too.  A null id is never a component's name.
+rows too.  A null id is never a component's name.  Labels are whole numbers of up to 64 bits.  An empty table gives no rows; other
+columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -42,7 +43,7 @@ def _pivots(classes: DataFrame) -> dict[tuple[int, int], np.ndarray]:
         return {}
     share = PIVOTS / max(PIVOTS, sum(n / CELL for n in big.values()))
     spark = classes.sparkSession
-    rates = spark.createDataFrame([(k[0], k[1], float(min(1.0, share / CELL))) for k in big], "label int, dims int, rate double")
+    rates = spark.createDataFrame([(k[0], k[1], float(min(1.0, share / CELL))) for k in big], "label long, dims int, rate double")
     chosen = classes.join(F.broadcast(rates), ["label", "dims"]).where(F.pmod(F.xxhash64("cid", F.lit(7)), F.lit(1 << 30)) < F.col("rate") * (1 << 30))
     out: dict = {}
     for r in chosen.select("label", "dims", "embedding").collect():
@@ -88,7 +89,7 @@ def _deal(classes: DataFrame, pivots: dict, radius: dict | None, r: float) -> Da
                 take = pa.array(np.concatenate(at))
                 yield pa.RecordBatch.from_arrays([b.column(i).take(take) for i in range(5)] + [pa.array(np.concatenate(cell), pa.int32()), pa.array(np.concatenate(own)), pa.array(np.concatenate(near))], ["cid", "label", "dims", "weight", "embedding", "cell", "own", "near"])
 
-    return classes.select("cid", "label", "dims", "weight", "embedding").mapInArrow(run, f"cid long, label int, dims int, weight long, embedding {vectors}, cell int, own boolean, near double")
+    return classes.select("cid", "label", "dims", "weight", "embedding").mapInArrow(run, f"cid long, label long, dims int, weight long, embedding {vectors}, cell int, own boolean, near double")
 
 
 def _compare(cosine: float):
@@ -126,7 +127,7 @@ def _compare(cosine: float):
 def join(df: DataFrame, cosine: float = COSINE, key: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row."""
     r = float(np.sqrt(2 - 2 * cosine))
-    rows = df.select(df[key].cast("long").alias("vec_id"), df[label].cast("int").alias("label"), df[vector].alias("embedding"))
+    rows = df.select(df[key].cast("long").alias("vec_id"), df[label].cast("long").alias("label"), df[vector].alias("embedding"))
     rows = rows.withColumn("ok", usable(F.col("embedding")) & F.col("label").isNotNull()).withColumn("cid", F.when(F.col("ok"), F.xxhash64("label", "embedding")))
     classes = rows.where("ok").groupBy("cid", "label", "embedding").agg(F.count("*").alias("weight"), F.min("vec_id").alias("first")).withColumn("dims", F.size("embedding"))
     classes, _ = materialise(classes, "classes")

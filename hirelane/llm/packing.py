@@ -102,7 +102,8 @@ def pack(df: DataFrame, capacity: int = CAPACITY, shard: int = SHARD) -> DataFra
     """df of PIECES with sequence_id and offset.
 
     Lengths must lie between 1 and the capacity.  Repeated rows are pieces of their own; a null doc_id
-    is packed like any other.  An empty table gives an empty result.
+    is packed like any other.  An empty table gives an empty result.  A round that leaves over 0.9 of its pieces open ends the
+    work; its sequences stay as they are.
     """
     spark = df.sparkSession
     out = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, final boolean"

@@ -127,7 +127,8 @@ def decode(words: np.ndarray, offsets: np.ndarray, n: int) -> np.ndarray:
 def write(df: DataFrame, tokenizer: str, end_id: int, path: str | None = None, key: str = "doc_id", text: str = "text") -> str:
     """Tokenise every text, append end_id and write the ids in ascending key order; returns the place.
 
-    Shards are ranges of keys; null keys come first, rows of equal keys in any order.  A null or empty text is end_id alone.
+    Shards are ranges of keys; null keys come first, rows of equal keys in any order.  A null or empty text is end_id alone, a very long
+    one is written like any other.  An empty table gives an empty file; other columns, whatever their names, are ignored.
     """
     spark = df.sparkSession
     path = path or scratch_path(spark, "tokens")

@@ -1,3 +1,7 @@
+import random
+
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from hirelane.llm.queries import queries
 
@@ -27,3 +31,32 @@ def test_run_on_an_empty_table(spark, tmp_path):
 
 def test_every_operator_is_registered():
     assert {q.split("_")[0] for q in queries()} == {*(f"op{i}" for i in range(1, 11)), "pipeline"}
+
+
+def test_all_stages_over_odd_rows(spark, tmp_path):
+    """Nulls, empty and long texts, repeated rows and clashing names through every stage."""
+    rng = random.Random(4)
+    words = ["river", "house", "the", "of", "and", "went", "long", "town", "was", "there"]
+    say = lambda n: " ".join(rng.choice(words) + rng.choice(["", "s", "ed", f"{rng.randrange(99)}"]) for _ in range(n)) + "."
+    good = [say(60) for _ in range(60)]
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(good)]
+    rows += [(100 + i, " ".join(["BUY", "WIN!!"] * 30) + str(i), "en", "s", 1) for i in range(20)]
+    rows += [(200, good[0], "en", "s", 1), (201, good[0] + " end", "en", "s", 1), (5, good[5], "en", "s", 1), (None, good[7], None, None, None), (202, None, None, None, None), (203, "", "en", "s", 0), (204, say(30000), "en", "s", 1), (205, say(50) + " password = hunter22", "en", "s", 1)]
+    names = ("its", "cls", "blob", "findings", "row", "component_id", "first", "x", "y", "k", "doc", "web")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumns({c: F.lit(3) for c in names})
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, int(i < 100), 0) for i in [*range(60), *range(100, 120)]] + [(None, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    kept = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before = kept
+        kept = stage(spark, before, str(tmp_path))
+        assert kept.columns == docs.columns, name
+        if kept is not docs and name == "quality classifier":
+            passed = {r.doc_id for r in kept.collect()}
+            assert len(passed & set(range(60))) > 50 and not passed & set(range(100, 120))
+    ids = {r.doc_id: r.text for r in kept.collect()}
+    # Copies and near copies go, nothing else that passed.
+    assert set(ids) == passed - ({200, 201} if 0 in passed else {201} if 200 in passed else set())
+    assert "hunter22" not in ids.get(205, "") and ids.get(204) in (None, rows[-2][1])
+    pieces = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in pieces} == set(ids)
