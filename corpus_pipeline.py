@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read
 again as the next stage's docs.
+
+Rows with a null text are empty texts: the classifier scores them like any other, they link with nothing, hold no secret and
+pack as one end id.  A null id is never learned from, names no group and is packed like any other.  Of rows of one id each text is
+judged by its own group.  Very long texts are handled whole, an empty table gives no pieces, and other columns, whatever
+their names, pass all stages but the last unchanged.
 """
 
 from __future__ import annotations
