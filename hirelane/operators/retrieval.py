@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.labels import py_round
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -23,17 +25,17 @@ def clipped_dot(a: Column, b: Column) -> Column:
 
 def score_shifted(s: Column) -> Column:
     """-1..1 to whole points of 0..100."""
-    return F.round((s + 1) / 2 * 100).cast("int")
+    return py_round((s + 1) / 2 * 100, 0).cast("int")
 
 
 def score_clipped(s: Column) -> Column:
     """Clipped to 0..1, whole points."""
-    return F.round(F.least(F.greatest(s, F.lit(0.0)), F.lit(1.0)) * 100).cast("int")
+    return py_round(F.least(F.greatest(s, F.lit(0.0)), F.lit(1.0)) * 100, 0).cast("int")
 
 
 def score_percent(s: Column) -> Column:
     """Clipped to 0..1, two digits."""
-    return F.round(F.least(F.greatest(s, F.lit(0.0)), F.lit(1.0)) * 100, 2)
+    return py_round(F.least(F.greatest(s, F.lit(0.0)), F.lit(1.0)) * 100, 2)
 
 
 def sigmoid(x: Column) -> Column:

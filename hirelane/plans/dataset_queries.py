@@ -9,6 +9,7 @@ from ..functions.labels import integer_label, label_bucket
 from ..operators import datasets as D
 from ..operators import metrics as M
 from ..operators import retrieval as R
+from ..operators import textviews as V
 from ..sources.scratch import scratch
 from .scoring_queries import _t
 
@@ -18,6 +19,40 @@ def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), ((F.col("o_orderkey") * 37 + F.col("o_custkey")) % 101).cast("double").alias("pred"), (F.col("o_custkey") % 101).cast("double").alias("true"))
 
 
+def similarity_scores(spark, sf_dir):
+    """Scores of neighbouring vectors on every scale; similarities are cut to four digits, so no sum's order matters."""
+    e = _t(spark, sf_dir, "embeddings")
+    pairs = e.alias("a").join(e.alias("b"), F.col("b.vec_id") == F.col("a.vec_id") + 1)
+    s = pairs.select("a.vec_id", F.round(R.dot(F.col("a.embedding"), F.col("b.embedding")), 4).alias("s"), F.round(R.clipped_dot(F.col("a.embedding"), F.col("b.embedding")), 4).alias("clipped"))
+    return s.select("vec_id", "clipped", R.score_shifted(F.col("s")).alias("shifted"), R.score_clipped(F.col("s")).alias("points"), F.round(R.score_percent(F.col("s")), 2).alias("percent"), F.round(R.sigmoid(F.col("s")), 6).alias("sigmoid"))
+
+
+def boundary_loss(spark, sf_dir):
+    return _scored(spark, sf_dir).select("id", F.round(M.boundary_loss(F.col("pred") / 100, F.col("true") / 100), 6).alias("loss"))
+
+
+def _pairs(spark, sf_dir):
+    """Orders as pairs of a customer and a nation; a third of the customers and some nations are missing."""
+    p = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("resume_id"), (F.col("o_custkey") % 30).alias("job_description_id"), F.when(F.col("o_orderkey") % 4 == 0, "test").otherwise("train").alias("split"), F.when(F.col("o_orderkey") % 5 != 0, "given").alias("label"), (F.col("o_orderkey") % 101).cast("int").alias("overall_score"))
+    r = _t(spark, sf_dir, "customer").where("c_custkey % 3 != 0").select(F.col("c_custkey").alias("id"), "c_name")
+    return p, r, _t(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("id"), "n_name")
+
+
+def joined_pairs(spark, sf_dir):
+    return D.join_pairs(*_pairs(spark, sf_dir)).select("id", "label", "overall_score", F.col("resume.c_name").alias("resume_name"), F.col("job.n_name").alias("job_name"))
+
+
+def strict_pairs(spark, sf_dir):
+    p, r, j = _pairs(spark, sf_dir)
+    fine = p.where("resume_id % 3 != 0 and job_description_id < 25")
+    return D.strict_pairs(fine, r, j).groupBy("split", "label").agg(F.count("*").alias("n"), F.max("resume.c_name").alias("last_name"))
+
+
+def numeric_ids(spark, sf_dir):
+    c = _t(spark, sf_dir, "customer").select(F.concat(F.when(F.col("c_custkey") % 2 == 0, "cv_").otherwise("jd_"), F.lpad(F.col("c_custkey").cast("string"), 6, "0"), F.when(F.col("c_custkey") % 10 == 0, "x").otherwise("")).alias("id"))
+    return c.agg(V.max_numeric_id(F.col("id"), "cv_").alias("cv"), V.max_numeric_id(F.col("id"), "jd_").alias("jd"))
+
+
 _P = "WITH s AS (SELECT o_orderkey AS id, CAST((o_orderkey * 37 + o_custkey) % 101 AS DOUBLE) AS pred, CAST(o_custkey % 101 AS DOUBLE) AS tru FROM orders) "
 _B = "CASE WHEN {0} >= 90 THEN 'excellent_match' WHEN {0} >= 75 THEN 'strong_match' WHEN {0} >= 60 THEN 'moderate_match' WHEN {0} >= 40 THEN 'weak_match' ELSE 'poor_match' END"
 _I = "CASE WHEN {0} BETWEEN 90 AND 100 THEN 'excellent_match' WHEN {0} BETWEEN 75 AND 89 THEN 'strong_match' WHEN {0} BETWEEN 60 AND 74 THEN 'moderate_match' WHEN {0} BETWEEN 40 AND 59 THEN 'weak_match' WHEN {0} BETWEEN 0 AND 39 THEN 'poor_match' ELSE 'unknown' END"
@@ -164,6 +199,15 @@ t AS (SELECT j.label, e.vec_id, {_COS} AS sim, row_number() OVER (PARTITION BY j
 _HASH = "(CASE WHEN CAST('0x' || substr(sha256(CAST({0} AS VARCHAR)), 1, 8) AS BIGINT) / 4294967295.0 < 0.70 THEN 'train' WHEN CAST('0x' || substr(sha256(CAST({0} AS VARCHAR)), 1, 8) AS BIGINT) / 4294967295.0 < 0.85 THEN 'validation' ELSE 'test' END)"
 
 SQL = {
+    "similarity_scores": """WITH p AS (SELECT a.vec_id, list_inner_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS d FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1), s AS (SELECT vec_id, round(d, 4) AS s, round(least(greatest(d, 0), 1), 4) AS clipped FROM p)
+SELECT vec_id, clipped, CAST(round_even((s + CAST(1 AS DOUBLE)) / 2 * 100, 0) AS INT) AS shifted, CAST(round_even(least(greatest(s, 0), 1) * 100, 0) AS INT) AS points, round(least(greatest(s, 0), 1) * 100, 2) AS percent, round(1 / (1 + exp(-s)), 6) AS sigmoid FROM s""",
+    "boundary_loss": _P
+    + """SELECT id, round(power(pred / 100 - tru / 100, 2) + 0.3 * list_sum([CASE WHEN tru / 100 >= b THEN -ln(least(greatest(1 / (1 + exp(-20 * (pred / 100 - b))), CAST(1e-7 AS DOUBLE)), 1 - CAST(1e-7 AS DOUBLE))) ELSE -ln(1 - least(greatest(1 / (1 + exp(-20 * (pred / 100 - b))), CAST(1e-7 AS DOUBLE)), 1 - CAST(1e-7 AS DOUBLE))) END FOR b IN [CAST(0.40 AS DOUBLE), 0.60, 0.75, 0.90]]) / 4, 6) AS loss FROM s""",
+    "joined_pairs": f"""SELECT o_orderkey AS id, CASE WHEN o_orderkey % 5 <> 0 THEN 'given' ELSE {_B.format("(o_orderkey % 101)")} END AS label, CAST(o_orderkey % 101 AS INT) AS overall_score, c_name AS resume_name, n_name AS job_name
+FROM orders JOIN customer ON c_custkey = o_custkey AND c_custkey % 3 <> 0 JOIN nation ON n_nationkey = o_custkey % 30 WHERE o_orderkey % 4 = 0""",
+    "strict_pairs": f"""SELECT CASE WHEN o_orderkey % 4 = 0 THEN 'test' ELSE 'train' END AS split, CASE WHEN o_orderkey % 5 <> 0 THEN 'given' ELSE {_B.format("(o_orderkey % 101)")} END AS label, count(*) AS n, max(c_name) AS last_name
+FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_custkey % 3 <> 0 AND o_custkey % 30 < 25 GROUP BY 1, 2""",
+    "numeric_ids": "SELECT max(CASE WHEN c_custkey % 2 = 0 AND c_custkey % 10 <> 0 THEN c_custkey END) AS cv, max(CASE WHEN c_custkey % 2 = 1 THEN c_custkey END) AS jd FROM customer",
     # Pool adjacent violators as its closed form: the greatest over starts of the least mean over ends.
     "isotonic": _P
     + """, t AS (SELECT pred, avg(tru) AS y, row_number() OVER (ORDER BY pred) AS i FROM s GROUP BY pred), c AS (SELECT *, sum(y) OVER (ORDER BY i) AS upto FROM t),
@@ -209,4 +253,4 @@ UNION ALL SELECT CAST(doc_id AS VARCHAR), 'duplicate id' FROM d GROUP BY doc_id
     "recall_at_k": _TOP + ", h AS (SELECT e.vec_id, e.vec_id % 101 AS score, CASE WHEN t.rk <= 50 THEN 1 ELSE 0 END AS hit FROM embeddings e JOIN t ON t.label = e.label AND t.vec_id = e.vec_id) SELECT CAST(m AS INT) AS min_score, CAST(sum(hit) AS BIGINT) AS hits, count(*) AS total, round(avg(hit), 4) AS recall FROM h, (VALUES (0), (60), (75)) b(m) WHERE score >= m GROUP BY 1",
     "two_stage": _TOP + "SELECT e.vec_id, e.label, CASE WHEN t.rk <= 20 AND e.vec_id % 9 <> 0 THEN CAST(e.vec_id % 77 AS DOUBLE) ELSE CAST(e.vec_id % 100 AS DOUBLE) END AS score, t.rk <= 20 AND e.vec_id % 9 <> 0 AS reranked FROM embeddings e JOIN t ON t.label = e.label AND t.vec_id = e.vec_id",
 }
-QUERIES = {f.__name__: f for f in (eval_metrics, tolerance_metrics, confusion_matrix, error_histogram, signed_error_bins, worst_k, ensemble_mean, class_report, label_buckets, boundary_zones, token_percentiles, length_histogram, label_shares, model_deltas, isotonic, hash_split, entity_leakage, components, dataset_violations, relabel_upsert, rerank_ids, seniority_mix, cosine_topk, recall_at_k, two_stage)}
+QUERIES = {f.__name__: f for f in (eval_metrics, tolerance_metrics, confusion_matrix, error_histogram, signed_error_bins, worst_k, ensemble_mean, class_report, label_buckets, boundary_zones, token_percentiles, length_histogram, label_shares, model_deltas, isotonic, hash_split, entity_leakage, components, dataset_violations, relabel_upsert, rerank_ids, seniority_mix, cosine_topk, recall_at_k, two_stage, similarity_scores, boundary_loss, joined_pairs, strict_pairs, numeric_ids)}
