@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.labels import integer_label, label_bucket
 from ..operators import datasets as D
 from ..operators import metrics as M
+from ..operators import quality_rules as QR
 from ..operators import retrieval as R
 from ..operators import textviews as V
 from ..sources.scratch import scratch
@@ -53,6 +54,23 @@ def numeric_ids(spark, sf_dir):
     return c.agg(V.max_numeric_id(F.col("id"), "cv_").alias("cv"), V.max_numeric_id(F.col("id"), "jd_").alias("jd"))
 
 
+def id_reconciliation(spark, sf_dir):
+    said = _t(spark, sf_dir, "orders").select((F.col("o_custkey") + F.when(F.col("o_orderkey") % 50 == 0, 1_000_000).otherwise(0)).alias("id"))
+    return QR.reconcile_ids(_t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")), said)
+
+
+def accepted_rows(spark, sf_dir):
+    """First orders of every third customer and their state."""
+    o, c = _t(spark, sf_dir, "orders"), _t(spark, sf_dir, "customer").where("c_custkey % 3 != 0")
+    return QR.accept(o, c.select(F.col("c_custkey").alias("o_custkey")), F.col("o_totalprice") > 50000, "o_custkey", "o_orderkey").select("o_orderkey", "state")
+
+
+def rounds_mixed(spark, sf_dir):
+    p = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("resume_id"), (F.col("o_custkey") % 25).cast("int").alias("job_description_id"))
+    r = _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), (F.col("c_nationkey") % 3).alias("round"))
+    return QR.round_mismatch(p, r, _t(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), (F.col("n_regionkey") % 3).alias("round")))
+
+
 _P = "WITH s AS (SELECT o_orderkey AS id, CAST((o_orderkey * 37 + o_custkey) % 101 AS DOUBLE) AS pred, CAST(o_custkey % 101 AS DOUBLE) AS tru FROM orders) "
 _B = "CASE WHEN {0} >= 90 THEN 'excellent_match' WHEN {0} >= 75 THEN 'strong_match' WHEN {0} >= 60 THEN 'moderate_match' WHEN {0} >= 40 THEN 'weak_match' ELSE 'poor_match' END"
 _I = "CASE WHEN {0} BETWEEN 90 AND 100 THEN 'excellent_match' WHEN {0} BETWEEN 75 AND 89 THEN 'strong_match' WHEN {0} BETWEEN 60 AND 74 THEN 'moderate_match' WHEN {0} BETWEEN 40 AND 59 THEN 'weak_match' WHEN {0} BETWEEN 0 AND 39 THEN 'poor_match' ELSE 'unknown' END"
@@ -199,6 +217,9 @@ t AS (SELECT j.label, e.vec_id, {_COS} AS sim, row_number() OVER (PARTITION BY j
 _HASH = "(CASE WHEN CAST('0x' || substr(sha256(CAST({0} AS VARCHAR)), 1, 8) AS BIGINT) / 4294967295.0 < 0.70 THEN 'train' WHEN CAST('0x' || substr(sha256(CAST({0} AS VARCHAR)), 1, 8) AS BIGINT) / 4294967295.0 < 0.85 THEN 'validation' ELSE 'test' END)"
 
 SQL = {
+    "id_reconciliation": "WITH a AS (SELECT DISTINCT o_custkey + CASE WHEN o_orderkey % 50 = 0 THEN 1000000 ELSE 0 END AS id FROM orders) SELECT coalesce(c_custkey, id) AS key, CASE WHEN id IS NULL THEN 'missing' ELSE 'unexpected' END AS state FROM customer FULL JOIN a ON id = c_custkey WHERE id IS NULL OR c_custkey IS NULL",
+    "accepted_rows": "SELECT o_orderkey, CASE WHEN c_custkey IS NULL THEN 'unexpected' WHEN row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) > 1 THEN 'duplicate' WHEN o_totalprice > 50000 THEN 'accepted' ELSE 'rejected' END AS state FROM orders LEFT JOIN customer ON c_custkey = o_custkey AND c_custkey % 3 <> 0",
+    "rounds_mixed": "SELECT o_orderkey AS key, 'error' AS level, 'pair across rounds' AS rule FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = o_custkey % 25 WHERE c_nationkey % 3 <> n_regionkey % 3",
     "similarity_scores": """WITH p AS (SELECT a.vec_id, list_inner_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS d FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1), s AS (SELECT vec_id, round(d, 4) AS s, round(least(greatest(d, 0), 1), 4) AS clipped FROM p)
 SELECT vec_id, clipped, CAST(round_even((s + CAST(1 AS DOUBLE)) / 2 * 100, 0) AS INT) AS shifted, CAST(round_even(least(greatest(s, 0), 1) * 100, 0) AS INT) AS points, round(least(greatest(s, 0), 1) * 100, 2) AS percent, round(1 / (1 + exp(-s)), 6) AS sigmoid FROM s""",
     "boundary_loss": _P
@@ -253,4 +274,4 @@ UNION ALL SELECT CAST(doc_id AS VARCHAR), 'duplicate id' FROM d GROUP BY doc_id
     "recall_at_k": _TOP + ", h AS (SELECT e.vec_id, e.vec_id % 101 AS score, CASE WHEN t.rk <= 50 THEN 1 ELSE 0 END AS hit FROM embeddings e JOIN t ON t.label = e.label AND t.vec_id = e.vec_id) SELECT CAST(m AS INT) AS min_score, CAST(sum(hit) AS BIGINT) AS hits, count(*) AS total, round(avg(hit), 4) AS recall FROM h, (VALUES (0), (60), (75)) b(m) WHERE score >= m GROUP BY 1",
     "two_stage": _TOP + "SELECT e.vec_id, e.label, CASE WHEN t.rk <= 20 AND e.vec_id % 9 <> 0 THEN CAST(e.vec_id % 77 AS DOUBLE) ELSE CAST(e.vec_id % 100 AS DOUBLE) END AS score, t.rk <= 20 AND e.vec_id % 9 <> 0 AS reranked FROM embeddings e JOIN t ON t.label = e.label AND t.vec_id = e.vec_id",
 }
-QUERIES = {f.__name__: f for f in (eval_metrics, tolerance_metrics, confusion_matrix, error_histogram, signed_error_bins, worst_k, ensemble_mean, class_report, label_buckets, boundary_zones, token_percentiles, length_histogram, label_shares, model_deltas, isotonic, hash_split, entity_leakage, components, dataset_violations, relabel_upsert, rerank_ids, seniority_mix, cosine_topk, recall_at_k, two_stage, similarity_scores, boundary_loss, joined_pairs, strict_pairs, numeric_ids)}
+QUERIES = {f.__name__: f for f in (eval_metrics, tolerance_metrics, confusion_matrix, error_histogram, signed_error_bins, worst_k, ensemble_mean, class_report, label_buckets, boundary_zones, token_percentiles, length_histogram, label_shares, model_deltas, isotonic, hash_split, entity_leakage, components, dataset_violations, relabel_upsert, rerank_ids, seniority_mix, cosine_topk, recall_at_k, two_stage, similarity_scores, boundary_loss, joined_pairs, strict_pairs, numeric_ids, id_reconciliation, accepted_rows, rounds_mixed)}
