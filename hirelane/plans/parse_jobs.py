@@ -8,39 +8,29 @@ from pyspark.sql import functions as F
 from ..functions import extract as X
 from ..functions import text as T
 from ..functions.catalog import frame
-from ..operators.sections import carry_forward
-from ..operators.skills import resolve_job_skills
+from ..operators.skills import job_skills_wanted, resolved_job_skills, with_job_skills_found
 
 
-def sections(docs: DataFrame, doc: str, text: str) -> DataFrame:
-    """(doc, line_index, line, section): lines of each section in order; a heading gives what follows its colon."""
-    rows = docs.select(F.col(doc), F.posexplode(F.split(T.job_text_lines(T.sanitize(F.col(text))), "\n")).alias("line_index", "line"))
-    rows = rows.withColumn("heading", X.job_heading(F.col("line")))
-    out = carry_forward(rows, doc, "line_index", F.col("heading"))
-    return out.withColumn("line", F.when(F.col("heading").isNotNull(), X.heading_remainder(F.col("line"))).otherwise(F.col("line"))).where("line != ''").drop("heading")
+SECTIONS = ("responsibilities", "requirements", "nice_to_have")
 
 
 def parse_jobs(docs: DataFrame, doc: str = "doc_id", text: str = "text", catalog: DataFrame | None = None) -> DataFrame:
     """One row per document with all fields of a job; null text gives empty fields."""
     catalog = catalog if catalog is not None else frame(docs.sparkSession)
     d = docs.select(F.col(doc), T.job_text_lines(T.sanitize(F.col(text))).alias("text"))
-    s = sections(docs, doc, text).where(F.col("section").isin("responsibilities", "requirements", "nice_to_have"))
-    lists = s.groupBy(doc).agg(*[F.transform(F.array_sort(F.collect_list(F.when(F.col("section") == k, F.struct("line_index", "line")))), lambda x: x["line"]).alias(k) for k in ("responsibilities", "requirements", "nice_to_have")])
-    d = d.join(lists, doc, "left")
-    none = F.array().cast("array<string>")
-    d = d.withColumns({k: X.section_items(F.coalesce(F.col(k), none)) for k in ("responsibilities", "requirements", "nice_to_have")})
-    d = d.withColumns({"folded": T.fold_match(F.col("text")), "requirements_text": F.array_join("requirements", "\n"), "preferred_text": F.array_join("nice_to_have", "\n")})
-    skills = resolve_job_skills(d, doc, catalog)
-    out = d.select(
+    d = d.withColumn("letters", T.match_letters(F.col("text")))
+    d = d.withColumns({"folded": T.match_words(F.col("letters")), "sections": X.section_lines(F.col("text"), F.col("letters"), SECTIONS)})
+    d = d.select(doc, "text", "folded", *[X.section_items(F.col("sections")[k]).alias(k) for k in SECTIONS])
+    lines = lambda k: T.fold_match(F.array_join(k, "\n"))
+    d = with_job_skills_found(d.withColumns({"required": lines("requirements"), "preferred": lines("nice_to_have")}), doc, catalog, "required", "preferred", "folded")
+    return d.select(
         doc,
         X.job_title(F.col("text")).alias("title"),
         X.seniority(F.col("folded")).alias("seniority"),
         X.employment_type(F.col("folded")).alias("employment_type"),
-        "responsibilities",
-        "requirements",
-        "nice_to_have",
+        *SECTIONS,
         X.min_experience_years(F.col("folded")).alias("min_experience_years"),
         X.education_requirement(F.col("text")).alias("education_requirement"),
         X.domain_keywords(F.col("folded")).alias("domain_keywords"),
+        *resolved_job_skills(job_skills_wanted(F.array_join("requirements", "\n"))),
     )
-    return out.join(skills, doc)
