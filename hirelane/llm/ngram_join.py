@@ -16,6 +16,10 @@ T = ceil(0.8 n) of them, so:
    now.  Every document outside its component's largest part is searched for in each block that holds one of its rare
    hashes.
 
+To count, a hash goes to its bucket with its low 32 bits, so a bucket may take two hashes for one: a count is then too high and
+a document too many is left, never one too few, and step 3 compares all 64 bits.  The texts and names that steps 1 and 2 need from
+all documents are told by bit sets of bounded size, which may say yes too often; what follows is exact.
+
 Nothing is sampled and no list is cut.  Null, empty and blank texts have no shingles and link with nothing; a very long text
 is one set like any other.  Repeated rows are documents of their own; a null id names no component.  An empty table gives
 no rows; other columns, whatever their names, are ignored.  Hashes and the names of sets have 64 bits.
@@ -51,6 +55,12 @@ ROWS_A_FILE = 1_000_000
 PIVOTS = 8
 #: Hashes that a bucket counts at once.
 BUCKET_HASHES = 1 << 22
+#: Documents of a batch of step 1 (at most 65,536), and hashes after which it ends; the more, the fewer bytes of a row are no hashes.
+DEAL_DOCS, DEAL_HASHES = 1000, 1 << 17
+#: Bits of a bit set at most; a fuller one lets more through.
+MOST_BITS = 1 << 25
+#: A class that has copies, by its place in a batch.
+COPIED = np.dtype([("own", "<u2"), ("cls", "<i8")])
 #: The cost of probing a list against merging it, as DivideSkip's authors found it.
 MU = 0.0085
 SETS = "batch long, classes binary, sizes binary, hashes binary"
@@ -98,36 +108,89 @@ def _requests(hashes: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarra
             yield k, order[at[k] : at[k + 1]]
 
 
-def _first_filter(docs: DataFrame, words: int, buckets: int) -> DataFrame:
-    """Classes that pass step 1."""
+def _slot(hash: Column, bits: int) -> Column:
+    return hash.bitwiseAND(F.lit(bits - 1)).alias("slot")
+
+
+def _bit_set(slots: DataFrame) -> DataFrame:
+    """(word, bits) of (slot)."""
+    return slots.selectExpr("slot >> 6 as word", "1L << cast(slot & 63 as int) as bit").groupBy("word").agg(F.bit_or("bit").alias("bits"))
+
+
+def _bits_for(rows: int) -> int:
+    """Bits of a bit set for some of so many rows, a power of two."""
+    return min(MOST_BITS, max(1 << 10, 1 << (4 * rows).bit_length()))
+
+
+def _copied(per_class: DataFrame, bits: int) -> np.ndarray:
+    """The bit set of classes with copies."""
+    table = _bit_set(per_class.where("copies > 1").select(_slot(F.col("cls"), bits))).toArrow()
+    words = np.zeros(bits >> 6, np.int64)
+    words[table.column("word").to_numpy()] = table.column("bits").to_numpy()
+    return words
+
+
+def _first_filter(docs: DataFrame, words: int, buckets: int, copied: np.ndarray) -> DataFrame:
+    """Classes that pass step 1.
+
+    A batch's names and sizes go with its first row alone, so that a hash takes as many bytes with many buckets as with few; only
+    classes that may have copies elsewhere are named wherever they send hashes.
+    """
+    spread = "bucket int, batch long, h binary, owner binary, copied binary, classes binary, sizes binary"
+    back = "batch long, own binary, times binary, classes binary, sizes binary"
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at_batch = TaskContext.get().partitionId() << 32
-        for b in _slices(batches):
-            # Copies of a class send their hashes once a batch.
-            sets = {_class(s): s for s in shingle_sets(b.column(0).to_pylist(), words) if len(s)}
-            at_batch += 1
-            if not sets:
-                continue
-            cls = np.array(list(sets))
-            n = np.array([len(s) for s in sets.values()])
-            part = [s[: min(len(s), len(s) - least_overlap(len(s)) + len(s) // 20 + 1)] for s in sets.values()]
-            owner = np.repeat(np.arange(len(sets)), [len(x) for x in part])
-            h = np.concatenate(part)
-            del sets, part
-            rows = []
+        parts: dict[int, np.ndarray] = {}
+        n: list[int] = []
+        sent = 0
+
+        def rows() -> pa.RecordBatch:
+            cls, size = np.array(list(parts)), [len(x) for x in parts.values()]
+            several = (copied[(cls & (64 * len(copied) - 1)) >> 6] >> (cls & 63)) & 1 == 1
+            owner, h = np.repeat(np.arange(len(size)), size), np.concatenate(list(parts.values()))
+            out, head = [], [cls.astype("<i8").tobytes(), np.array(n, "<i4").tobytes()]
             for k, at in _requests(h, buckets):
-                own, local = np.unique(owner[at], return_inverse=True)
-                rows.append((k, at_batch, h[at].tobytes(), local.astype("<u2").tobytes(), cls[own].tobytes(), n[own].astype("<i4").tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int32(), pa.int64(), *[pa.binary()] * 4], strict=True)], ["bucket", "batch", "h", "owner", "classes", "sizes"])
+                own = np.unique(owner[at])
+                own = own[several[own]]
+                named = np.empty(len(own), COPIED)
+                named["own"], named["cls"] = own, cls[own]
+                out.append((k, at_batch, h[at].astype("<u4").tobytes(), owner[at].astype("<u2").tobytes(), named.tobytes(), *head))
+                head = [None, None]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int32(), pa.int64(), *[pa.binary()] * 5], strict=True)], ["bucket", "batch", "h", "owner", "copied", "classes", "sizes"])
+
+        for b in _slices(batches):
+            for s in shingle_sets(b.column(0).to_pylist(), words):
+                # Copies of a class send their hashes once a batch.
+                if not len(s) or (cls := _class(s)) in parts:
+                    continue
+                parts[cls] = s[: min(len(s), len(s) - least_overlap(len(s)) + len(s) // 20 + 1)].copy()
+                n.append(len(s))
+                sent += len(parts[cls])
+                if len(n) >= DEAL_DOCS or sent >= DEAL_HASHES:
+                    yield rows()
+                    at_batch += 1
+                    parts.clear()
+                    n.clear()
+                    sent = 0
+        if n:
+            yield rows()
 
     def count(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row for each batch: how many hashes of each class occur in another class too."""
+        """For each batch: how many hashes of each class occur in another class too."""
         rows = [r for g in batches for r in g.to_pylist()]
-        hs = [np.frombuffer(r["h"], np.uint64) for r in rows]
         owners = [np.frombuffer(r["owner"], "<u2") for r in rows]
-        h = np.concatenate(hs)
-        c = np.concatenate([np.frombuffer(r["classes"], np.int64)[own] for r, own in zip(rows, owners, strict=True)])
+        named = [np.frombuffer(r["copied"], COPIED) for r in rows]
+        h = np.concatenate([np.frombuffer(r["h"], "<u4") for r in rows])
+        # A class without copies is in one batch; the others are told by their names.
+        _, number = np.unique(np.concatenate([x["cls"] for x in named]), return_inverse=True)
+        c, at = [], 0
+        for i, (own, x) in enumerate(zip(owners, named, strict=True)):
+            ids = np.arange(DEAL_DOCS) + (i << 16)
+            ids[x["own"]] = -1 - number[at : at + len(x)]
+            c.append(ids[own])
+            at += len(x)
+        c = np.concatenate(c)
         order = np.argsort(h, kind="stable")
         start = np.flatnonzero(np.append(True, h[order][1:] != h[order][:-1]))
         c = c[order]
@@ -135,25 +198,26 @@ def _first_filter(docs: DataFrame, words: int, buckets: int) -> DataFrame:
         both = np.minimum.reduceat(c, start) != np.maximum.reduceat(c, start)
         shared = np.empty(len(h), bool)
         shared[order] = np.repeat(both, np.diff(start, append=len(h)))
-        at, times = 0, []
+        at, out = 0, []
         for r, own in zip(rows, owners, strict=True):
-            times.append(np.bincount(own[shared[at : at + len(own)]], minlength=len(r["sizes"]) // 4).astype("<i4").tobytes())
-            at += len(own)
-        cols = [[r["batch"] for r in rows], [r["classes"] for r in rows], [r["sizes"] for r in rows], times]
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, [pa.int64(), *[pa.binary()] * 3], strict=True)], ["batch", "classes", "sizes", "times"])
+            own, times = np.unique(own[shared[at : at + len(own)]], return_counts=True)
+            at += len(r["owner"]) // 2
+            if len(own) or r["classes"] is not None:
+                out.append((r["batch"], own.astype("<u2").tobytes(), times.astype("<i4").tobytes(), r["classes"], r["sizes"]))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), [pa.int64(), *[pa.binary()] * 4], strict=True)], ["batch", "own", "times", "classes", "sizes"])
 
     def passing(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The classes of a batch that have k shared hashes or more."""
         rows = [r for g in batches for r in g.to_pylist()]
-        cls, at = np.unique(np.frombuffer(b"".join(r["classes"] for r in rows), np.int64), return_inverse=True)
-        times = np.bincount(at, np.frombuffer(b"".join(r["times"] for r in rows), "<i4"))
-        n = np.zeros(len(cls), np.int64)
-        n[at] = np.frombuffer(b"".join(r["sizes"] for r in rows), "<i4")
+        head = next(r for r in rows if r["classes"] is not None)
+        cls, n = np.frombuffer(head["classes"], "<i8"), np.frombuffer(head["sizes"], "<i4").astype(np.int64)
+        own, times = (np.concatenate([np.frombuffer(r[k], t) for r in rows]) for k, t in (("own", "<u2"), ("times", "<i4")))
+        times = np.bincount(own, times, minlength=len(cls))
         # k of a partner with at least 0.8 n shingles, and of this set itself; a set too small to have k hashes sends them all.
         yield pa.RecordBatch.from_arrays([pa.array(cls[times >= np.minimum(n * 4 // 5 // 20 + 1, n)])], ["cls"])
 
-    dealt = docs.select("text").mapInArrow(deal, "bucket int, batch long, h binary, owner binary, classes binary, sizes binary")
-    counted = dealt.groupBy("bucket").applyInArrow(count, "batch long, classes binary, sizes binary, times binary")
+    counted = docs.select("text").mapInArrow(deal, spread).groupBy("bucket").applyInArrow(count, back)
     return counted.groupBy("batch").applyInArrow(passing, "cls long").distinct()
 
 
@@ -168,6 +232,17 @@ def _named_texts(docs: DataFrame, words: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "cls long, text string")
 
 
+def _texts_of(docs: DataFrame, one: DataFrame, bits: int) -> DataFrame:
+    """docs with the columns of their row in one (cls, its).
+
+    Most other texts are left out by a bit set before they would be shuffled.
+    """
+    known = _bit_set(one.where("its is not null").select(_slot(F.xxhash64("its"), bits)))
+    slots = docs.where("doc_id is not null").select("doc_id", "text", _slot(F.xxhash64("doc_id"), bits))
+    may = slots.withColumn("word", F.expr("slot >> 6")).join(F.broadcast(known), "word").where("getbit(bits, cast(slot & 63 as int)) = 1")
+    return may.select("doc_id", "text").join(one.hint("shuffle_hash"), F.col("doc_id") == F.col("its"))
+
+
 def _pack_sets(docs: DataFrame, words: int) -> DataFrame:
     """SETS of (cls, text), whole sets in batches."""
 
@@ -192,17 +267,17 @@ def _unpack(r: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _rare(sets: DataFrame, buckets: int) -> DataFrame:
-    """(cls, h, set): step 2; for each class with T shared hashes, a row for each of its rarest that is shared."""
+    """(cls, s, rare): step 2; each class with T shared hashes, its set and those of its rarest that are shared."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in b.to_pylist():
                 cls, size, h = _unpack(r)
-                rows = [(k, r["batch"], h[at].tobytes()) for k, at in _requests(h, buckets)]
+                rows = [(k, r["batch"], h[at].astype("<u4").tobytes()) for k, at in _requests(h, buckets)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int32(), pa.int64(), pa.binary()], strict=True)], ["bucket", "batch", "h"])
 
     def count(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [(r["batch"], np.frombuffer(r["h"], np.uint64)) for g in batches for r in g.to_pylist()]
+        rows = [(r["batch"], np.frombuffer(r["h"], "<u4")) for g in batches for r in g.to_pylist()]
         h = np.concatenate([x for _, x in rows])
         _, where, times = np.unique(h, return_inverse=True, return_counts=True)
         times, at, out = np.minimum(times, 65535).astype("<u2")[where], 0, []
@@ -212,7 +287,7 @@ def _rare(sets: DataFrame, buckets: int) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int64()), pa.array([key[0].as_py()] * len(rows), pa.int32()), pa.array(out, pa.binary())], ["batch", "bucket", "times"])
 
     def choose(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out_c, out_h = [], []
+        out = []
         for r in left.to_dict("records"):
             cls, size, h = _unpack(r)
             times = np.zeros(len(h), np.int64)
@@ -225,12 +300,12 @@ def _rare(sets: DataFrame, buckets: int) -> DataFrame:
                 if (t > 1).sum() >= need:
                     first = np.lexsort((s, t))[: b - a - need + 1]
                     first = first[t[first] > 1]
-                    out_c += [c] * len(first)
-                    out_h.append(s[first].view(np.int64))
-        return pd.DataFrame({"cls": np.array(out_c, np.int64), "h": np.concatenate(out_h) if out_h else np.zeros(0, np.int64)})
+                    if len(first):
+                        out.append((c, s.tobytes(), s[first].view(np.int64)))
+        return pd.DataFrame(out, columns=["cls", "s", "rare"])
 
     counted = sets.mapInArrow(deal, "bucket int, batch long, h binary").groupBy("bucket").applyInArrow(count, "batch long, bucket int, times binary")
-    return sets.groupBy("batch").cogroup(counted.groupBy("batch")).applyInPandas(choose, "cls long, h long")
+    return sets.groupBy("batch").cogroup(counted.groupBy("batch")).applyInPandas(choose, "cls long, s binary, rare array<long>")
 
 
 class TOccurrence:
@@ -367,19 +442,6 @@ def _count_across(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.
     yield pa.RecordBatch.from_arrays([pa.array([r["cls"] for r in asks], pa.int64()), pa.array(n, pa.int64())], ["cls", "n"])
 
 
-def _each_set(sets: DataFrame) -> DataFrame:
-    """(cls, s)"""
-
-    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for r in b.to_pylist():
-                cls, size, h = _unpack(r)
-                end = np.cumsum(size)
-                yield pa.RecordBatch.from_arrays([pa.array(cls), pa.array([h[e - n : e].tobytes() for e, n in zip(end.tolist(), size.tolist(), strict=True)], pa.binary())], ["cls", "s"])
-
-    return sets.mapInArrow(unpack, "cls long, s binary")
-
-
 def _blocks(comps: DataFrame, rows: int) -> DataFrame:
     """comps (cls, comp) of so many rows with the number of their component's blocks, their own, and `pair`, which names a task's group: a block, or several components of one block."""
     n = comps.groupBy("comp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
@@ -405,16 +467,16 @@ def _meet(each: DataFrame, blocked: DataFrame, asking: Column, rare: DataFrame,
     return asks.select(cols).unionByName(own.select(cols)).join(each, "cls")
 
 
-def _links(sets: DataFrame, comps: DataFrame, rare: DataFrame) -> DataFrame:
+def _links(each: DataFrame, comps: DataFrame, rare: DataFrame) -> DataFrame:
     """Steps 3 and 4, written: (a, b), enough links to connect all documents that are connected."""
-    spark = sets.sparkSession
+    spark = each.sparkSession
     n = comps.count()
     blocked = _blocks(comps, n)
     large = blocked.where("blocks > 1")
     # The pivots of a component take part in each of its blocks.
     pivots = large.groupBy("comp", "blocks", F.pmod(F.xxhash64("cls", F.lit(1)), F.lit(PIVOTS))).agg(F.min("cls").alias("cls"))
     pivots = pivots.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(F.xxhash64("comp", "block").alias("pair"), "comp", "cls", F.lit(False).alias("again"))
-    dealt = blocked.select("pair", "comp", "cls", (F.col("blocks") > 1).alias("again")).unionByName(pivots).join(_each_set(sets), "cls")
+    dealt = blocked.select("pair", "comp", "cls", (F.col("blocks") > 1).alias("again")).unionByName(pivots).join(each, "cls")
     found, _ = materialise(dealt.groupBy("pair").applyInArrow(_within, "a long, b long, s binary"), "links")
     links = found.where("s is null").select("a", "b")
     if large.isEmpty():
@@ -436,27 +498,30 @@ def _files(rows: int) -> int:
 
 
 def _candidates(docs: DataFrame, words: int, key: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame, list[str]]:
-    """Steps 1 and 2: (doc_id, n_shingles, cls) of every row, (cls, first, copies), SETS, (cls, h) and (cls, comp) of what may link; paths to release."""
+    """Steps 1 and 2: (doc_id, n_shingles, cls) of every row, (cls, first, copies), (cls, s), (cls, h) and (cls, comp) of what may link; paths to release."""
     d = docs.select(docs[key].cast("long").alias("doc_id"), docs[text].alias("text"))
     least = max(8, fan_out(docs.sparkSession))
     named, _ = materialise(_digests(d, words), "digests")
     total, rows = named.agg(F.sum("n_shingles"), F.count("*")).first()
     total, files = total or 0, _files(rows)
     per_class = named.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"))
-    passed, p1 = materialise(_first_filter(d, words, max(least, total // BUCKET_HASHES)).coalesce(files), "passed")
+    bits = _bits_for(rows)
+    passed = _first_filter(d, words, max(least, total // BUCKET_HASHES), _copied(per_class, bits))
     # One document stands for a class; its text is read again.
-    one = per_class.join(passed, "cls").select("cls", F.col("first").alias("its"))
-    texts = d.join(one.hint("shuffle_hash"), F.col("doc_id") == F.col("its")).select("cls", "text")
+    one, p1 = materialise(per_class.join(passed, "cls").select("cls", F.col("first").alias("its")).coalesce(files), "passed")
+    texts = _texts_of(d, one, bits).select("cls", "text")
     # Rows without an id stand for the classes that have no other; they are found by their sets.
     nameless = _named_texts(d.where("doc_id is null"), words).join(one.where("its is null").select("cls").hint("shuffle_hash"), "cls", "left_semi")
     texts = texts.unionByName(nameless.dropDuplicates(["cls"]))
     sets, p2 = materialise(_pack_sets(texts, words), "sets")
     total = (sets.agg(F.sum(F.length("hashes"))).first()[0] or 0) // 8
-    rare, p3 = materialise(_rare(sets, max(least, total // BUCKET_HASHES)).repartition(_files(total // 4)), "rare")
+    kept, p3 = materialise(_rare(sets, max(least, total // BUCKET_HASHES)), "rare")
+    release(docs.sparkSession, p2)
+    each, rare = kept.select("cls", "s"), kept.select("cls", F.explode("rare").alias("h"))
     hubs = rare.groupBy("h").agg(F.min("cls").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
     near = components(rare.join(hubs, "h").where("cls != hub").select("cls", "hub"), _files(total // 4))
     comps, p4 = materialise(near.select(F.col("node").alias("cls"), F.col("component").alias("comp")).coalesce(files), "near")
-    return named, per_class, sets, rare, comps, [p1, p2, p3, p4]
+    return named, per_class, each, rare, comps, [p1, p3, p4]
 
 
 def classes(docs: DataFrame, words: int = WORDS, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -466,8 +531,8 @@ def classes(docs: DataFrame, words: int = WORDS, key: str = "doc_id", text: str
 
 def _grouped(docs: DataFrame, words: int = WORDS, key: str = "doc_id", text: str = "text") -> DataFrame:
     """classes() with cls, which names a row's set, and root, which names its component; both null for an empty set."""
-    named, per_class, sets, rare, comps, paths = _candidates(docs, words, key, text)
-    root = components(_links(sets, comps, rare)).select(F.col("node").alias("cls"), F.col("component").alias("root"))
+    named, per_class, each, rare, comps, paths = _candidates(docs, words, key, text)
+    root = components(_links(each, comps, rare)).select(F.col("node").alias("cls"), F.col("component").alias("root"))
     ids = per_class.join(root, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     ids = ids.join(ids.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("cls", "root", "component_id")
     out = named.join(ids, "cls", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "cls", "root")
@@ -480,17 +545,17 @@ def link_counts(docs: DataFrame, words: int = WORDS, key: str = "doc_id", text:
 
     This searches for every link, which classes() doesn't need; its work grows with their number.
     """
-    named, per_class, sets, rare, comps, paths = _candidates(docs, words, key, text)
+    named, per_class, each, rare, comps, paths = _candidates(docs, words, key, text)
     n = comps.count()
     blocked, p_blocked = materialise(_blocks(comps, n).join(per_class.select("cls", "copies"), "cls").coalesce(_files(n)), "blocked")
     small, large = blocked.where("blocks = 1"), blocked.where("blocks > 1")
-    counted = small.select("pair", "comp", "cls", "copies").join(_each_set(sets), "cls").groupBy("pair").applyInArrow(_count_within, "cls long, n long")
+    counted = small.select("pair", "comp", "cls", "copies").join(each, "cls").groupBy("pair").applyInArrow(_count_within, "cls long, n long")
     if not large.isEmpty():
-        counted = counted.unionByName(_meet(_each_set(sets), large, F.lit(True), rare, _files(n), "copies").groupBy("pair").applyInArrow(_count_across, "cls long, n long"))
+        counted = counted.unionByName(_meet(each, large, F.lit(True), rare, _files(n), "copies").groupBy("pair").applyInArrow(_count_across, "cls long, n long"))
     found, _ = materialise(counted.groupBy("cls").agg(F.sum("n").alias("n")), "counts")
     release(docs.sparkSession, *paths, p_blocked)
-    each = per_class.join(found, "cls", "left").select("cls", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    return named.join(each, "cls", "left").select("doc_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    links = per_class.join(found, "cls", "left").select("cls", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    return named.join(links, "cls", "left").select("doc_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def _with_class(docs: DataFrame, words: int = WORDS) -> DataFrame:
